@@ -151,3 +151,23 @@ def split_by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Cut points of sorted keys into equal ranges of the hash space: bucket b is cuts[b]:cuts[b + 1]."""
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte in turn, so that their leading zeros compress."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, those from 255 on in full behind them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return out

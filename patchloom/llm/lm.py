@@ -104,11 +104,11 @@ def send(buckets: int):
         rows: dict[str, list] = {"n": [], "bucket": [], "keys": [], "counts": []}
         for n, hashes, counted in ((1, toks, learn), (2, grams[inner], learn[inner])):
             keys, place = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(place[counted], minlength=len(keys)).astype("<u4")
+            counts = np.bincount(place[counted], minlength=len(keys))
             cuts = H.split_by_bucket(keys, buckets)
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 lo, hi = cuts[b], cuts[b + 1]
-                for name, x in (("n", n), ("bucket", b), ("keys", keys[lo:hi].tobytes()), ("counts", counts[lo:hi].tobytes())):
+                for name, x in (("n", n), ("bucket", b), ("keys", H.packed(keys[lo:hi])), ("counts", H.packed_counts(counts[lo:hi]))):
                     rows[name].append(x)
         return pa.table({
             "n": pa.array(rows["n"], pa.int32()),
@@ -123,12 +123,14 @@ def send(buckets: int):
 
 def answer(t: pa.Table) -> pa.Table:
     """One hash range of all blocks: the corpus-wide count of each n-gram that was sent."""
-    sent = [np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]
+    sent = [H.unpacked(k) for k in t["keys"].to_pylist()]
     keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in t["counts"].to_pylist()])
-    total = np.bincount(place, weights=counts, minlength=len(keys))[place].astype("<i8")
+    counts = np.concatenate([H.unpacked_counts(c, len(s)) for c, s in zip(t["counts"].to_pylist(), sent, strict=True)])
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, place, counts)
+    total = total[place]
     cut = np.split(total, np.cumsum([len(s) for s in sent])[:-1])
-    return pa.table({"n": t["n"], "bucket": t["bucket"], "block": t["block"], "counts": pa.array([c.tobytes() for c in cut], pa.binary())})
+    return pa.table({"n": t["n"], "bucket": t["bucket"], "block": t["block"], "counts": pa.array([H.packed_counts(c) for c in cut], pa.binary())})
 
 
 def score_block(buckets: int, total: int, distinct: int, prior: float):
@@ -137,10 +139,13 @@ def score_block(buckets: int, total: int, distinct: int, prior: float):
         grams = pairs(toks, first)
         inner = np.ones(len(toks), bool)
         inner[first[:-1]] = False
-        found = sorted(zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True), key=lambda x: x[:2])
-        counts = [np.frombuffer(b"".join(c for k, _, c in found if k == n), "<i8") for n in (1, 2)]
         uni, word = np.unique(toks, return_inverse=True)
         bi, place = np.unique(grams[inner], return_inverse=True)
+        counts = [np.zeros(len(k), np.int64) for k in (uni, bi)]
+        cuts = [H.split_by_bucket(k, buckets) for k in (uni, bi)]
+        for n, b, c in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True):
+            lo, hi = cuts[n - 1][b : b + 2]
+            counts[n - 1][lo:hi] = H.unpacked_counts(c, hi - lo)
         arc = np.zeros(len(toks), np.int64)
         arc[inner] = place
         if len(toks) == 0:
@@ -174,7 +179,7 @@ def _vocabulary(buckets: int):
             full = [0, *(np.flatnonzero(np.diff(cuts[1:])) + 1).tolist()]
             return pa.RecordBatch.from_pydict({
                 "bucket": pa.array(full, pa.int32()),
-                "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                "keys": pa.array([H.packed(keys[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
                 "tokens": pa.array([n, *[0] * (len(full) - 1)], pa.int64()),
             })
 
@@ -192,7 +197,7 @@ def _vocabulary(buckets: int):
 
 
 def _count_distinct(t: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]))
+    keys = np.unique(np.concatenate([H.unpacked(k) for k in t["keys"].to_pylist()]))
     return pa.table({"distinct": pa.array([len(keys)], pa.int64()), "tokens": pa.array([sum(t["tokens"].to_pylist())], pa.int64())})
 
 
