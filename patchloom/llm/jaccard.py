@@ -9,8 +9,8 @@ until a pair at the threshold is missed with a probability below 1 - recall (11
 1 - 3e-8); splitting adds a little, far below the loss of one run.
 
 What comes out of buckets is not pairs but, for each bucket, a star of each set of nodes that
-sketches connect, so rows stay linear in the bucket. A bucket that splitting cannot make small
-holds nodes that agree on every chosen shingle and becomes one star, without comparing. The
+sketches connect, so rows stay linear in the bucket. A large bucket whose nodes all agree with its
+first one is not split but becomes one star, and so does one that splitting cannot make small. The
 candidate components that the stars make up are then compared exactly, each pair of shingle sets
 in one place: a component lies in one task or, if its sets are many, in one task for each pair of
 its parts. The task counts links and returns stars of the true links, whose components are the
@@ -40,7 +40,7 @@ from . import _hashing as H
 from ._common import Workspace
 from .components import components
 
-SKETCH, BRANCHES, SMALL, DEPTH = 64, 3, 128, 4
+SKETCH, BRANCHES, SMALL, DEPTH = 64, 3, 4096, 4
 #: Of SKETCH agreements that a candidate needs: far below what a similarity of 0.8 gives (51, deviation 3.2).
 AGREE = 0.5
 #: Shingle hashes that one task compares at once.
@@ -137,46 +137,69 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
+def _near(sketch: np.ndarray, need: int) -> np.ndarray:
+    """For each row of one bucket the smallest row that sketches connect it with.
+
+    A row is compared with those not connected with it yet, so a bucket of copies costs its size.
+    """
+    n = len(sketch)
+    root = np.arange(n)
+    for i in range(n - 1):
+        apart = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if len(apart):
+            met = apart[(sketch[apart] == sketch[i]).sum(axis=1) >= need]
+            if len(met):
+                joined = np.append(root[met], root[i])
+                root[np.isin(root, joined)] = joined.min()
+    return root
+
+
 def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the nodes that sketches connect, from small buckets sorted by path."""
+    """Stars of the nodes that sketches connect, from buckets sorted by path and node."""
     need = round(AGREE * SKETCH)
     for t in _whole_groups(batches, "path", 4096):
         nodes = t["node"].to_pylist()
         sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         edges = _group_edges(t["path"].to_numpy())
-        left, right = [], []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            a, b = np.triu_indices(hi - lo, 1)
-            left.append(a + lo)
-            right.append(b + lo)
-        a, b = np.concatenate(left), np.concatenate(right)
-        near = np.concatenate([np.zeros(0, bool), *((sketch[a[i : i + 65536]] == sketch[b[i : i + 65536]]).sum(axis=1) >= need for i in range(0, len(a), 65536))])
-        root = _roots(len(nodes), a[near], b[near])
+        sizes = np.diff(edges)
+        root = np.arange(len(nodes))
+        pairs = edges[:-1][sizes == 2]  # most buckets
+        met = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= need]
+        root[met + 1] = met
+        for lo, n in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            root[lo : lo + n] = _near(sketch[lo : lo + n], need) + lo
         far = np.flatnonzero(root != np.arange(len(nodes))).tolist()
         yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[i] for i in far], pa.binary()), "b": pa.array([nodes[root[i]] for i in far], pa.binary())})
 
 
-def candidates(nodes: DataFrame, work: Workspace) -> DataFrame:
+def _agreement(a: Column, b: Column) -> Column:
+    same = lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SKETCH)), F.lit(0), same)
+
+
+def candidates(nodes: DataFrame, work: Workspace, small: int = SMALL, depths: int = DEPTH) -> DataFrame:
     """Links (a, b) whose components hold every similar pair; from node, sketch and chosen of distinct sets."""
     star = "a binary, b binary"
     level = nodes.select(F.posexplode("chosen").alias("run", "shingle"), "node", "sketch").select(F.xxhash64("run", "shingle").alias("path"), "node", "sketch")
     found = []
-    for depth in range(DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1")
+    for depth in range(depths + 1):
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         level = work.save(level.join(sizes, "path"), f"level{depth}")
-        small = level.filter(F.col("n") <= SMALL).select("path", "node", "sketch")
-        small = small.repartition(F.col("path")).sortWithinPartitions("path")
-        found.append(work.save(small.mapInArrow(_brute_force, star), f"found{depth}"))
-        large = level.filter(F.col("n") > SMALL)
+        compared = level.filter(F.col("n") <= small).select("path", "node", "sketch")
+        compared = compared.repartition(F.col("path")).sortWithinPartitions("path", "node")
+        found.append(work.save(compared.mapInArrow(_brute_force, star), f"found{depth}"))
+        large = level.filter(F.col("n") > small)
         if large.limit(1).count() == 0:
             break
-        if depth == DEPTH:
-            found.append(large.filter(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b")))
-            break
+        # A large bucket whose nodes all agree with its first one is one star and needs no splitting.
+        leaders = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("first"))
+        large = large.join(leaders, "path").withColumn("near", _agreement(F.col("sketch"), F.col("first.sketch")) >= round(AGREE * SKETCH))
+        loose = large.groupBy("path").agg(F.min("near").alias("tight"))
+        large = work.save(large.join(loose, "path").select("path", "node", "sketch", F.col("first.node").alias("low"), (F.col("tight") | F.lit(depth == depths)).alias("done")), f"large{depth}")
+        found.append(large.filter(F.col("done") & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b")))
         turns = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda i: F.pmod(F.xxhash64("path", i), F.lit(SKETCH)).cast("int"))
-        level = large.select("node", "sketch", "path", F.explode(F.array_distinct(turns)).alias("turn")).select(
-            F.xxhash64("path", "turn", F.substring("sketch", F.col("turn") + 1, F.lit(1))).alias("path"), "node", "sketch"
-        )
+        level = large.filter(~F.col("done")).select("node", "sketch", "path", F.explode(F.array_distinct(turns)).alias("turn"))
+        level = level.select(F.xxhash64("path", "turn", F.substring("sketch", F.col("turn") + 1, F.lit(1))).alias("path"), "node", "sketch")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
