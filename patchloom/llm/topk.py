@@ -111,10 +111,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates_per_gro
     queries = queries.select("vec_id", "v", F.concat_ws(":", "vec_id", F.xxhash64("v"), again).alias("row_key"))
     n, m = vectors.count(), queries.count()
     parts, query_parts = max(1, -(-n // candidates_per_group)), max(1, -(-m // queries_per_group))
+    # Both sides carry keys of one type: groups of other types would hash apart.
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    group = lambda count, *of: F.pmod(F.xxhash64(*of), F.lit(count)).cast("int")
     # Ranges of ids would split a hot id badly; hashing the vector too spreads rows that repeat one.
-    c = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).alias("c"), every(query_parts).alias("q"))
-    q = queries.select("row_key", "vec_id", "v", F.pmod(F.xxhash64("row_key"), F.lit(query_parts)).alias("q"), every(parts).alias("c"))
-    found = q.groupBy("q", "c").cogroup(c.select("vec_id", "v", F.col("q").cast("bigint").alias("q"), "c").groupBy("q", "c")).applyInArrow(_meet(k), RESULT)
+    c = vectors.select("vec_id", "v", group(parts, "vec_id", "v").alias("c"), every(query_parts).alias("q"))
+    q = queries.select("row_key", "vec_id", "v", group(query_parts, "row_key").alias("q"), every(parts).alias("c"))
+    found = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInArrow(_meet(k), RESULT)
     order = Window.partitionBy("row_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
