@@ -151,7 +151,7 @@ class Ensemble:
         self.linear: list[tuple[int, float, float, float]] = []  # statistic, lowest, highest, weight
         share = float(y.mean()) if len(y) else 0.5
         self.intercept = float(np.log(share / (1 - share))) if 0 < share < 1 else 36.0 * (2 * share - 1)
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return
         rules = tree_rules(x, y)
         low, high = np.quantile(x, 0.025, axis=0), np.quantile(x, 0.975, axis=0)
