@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 def little(value: Column, size: int) -> Column:
     """The low bytes of a number, the lowest first."""
-    byte = lambda k: F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0"))
-    return F.concat(*(byte(k) for k in range(size)))
+    digits = F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit((1 << 8 * size) - 1))), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))))
 
 
 def packed_size(value: Column) -> Column:
@@ -28,7 +28,7 @@ def packed(value: Column) -> Column:
     """A long as a packed integer. The smallest long, whose magnitude is no long, is null."""
     v = value.cast("long")
     m = F.when(v == F.lit(-(1 << 63)), F.lit(None)).otherwise(F.abs(v))
-    size = packed_size(v)
+    size = F.when(m < 1 << 6, 1).when(m < 1 << 13, 2).when(m < 1 << 28, 4).when(m < 1 << 59, 8).otherwise(9)
     part = lambda shift, bits: F.shiftright(m, shift).bitwiseAND(F.lit((1 << bits) - 1))
     more = lambda least, bit: F.when(size > least, F.lit(1 << bit)).otherwise(F.lit(0))
     none = F.lit(b"")
@@ -43,11 +43,9 @@ def packed(value: Column) -> Column:
 
 def number(raw: Column, at: int, size: int) -> Column:
     """A little-endian unsigned number; 0 where bytes are missing."""
-    byte = lambda k: F.coalesce(F.conv(F.nullif(F.hex(F.substring(raw, at + k + 1, 1)), F.lit("")), 16, 10).cast("long"), F.lit(0))
-    out = byte(0)
-    for k in range(1, size):
-        out = out + F.shiftleft(byte(k), 8 * k)
-    return out
+    digits = F.hex(F.substring(raw, at + 1, size))
+    turned = digits if size == 1 else F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
+    return F.coalesce(F.conv(F.nullif(turned, F.lit("")), 16, 10).cast("long"), F.lit(0))
 
 
 def unpacked(raw: Column) -> Column:
