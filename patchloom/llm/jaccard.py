@@ -282,6 +282,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: f
     nodes = some.groupBy("node").agg(one.alias("one"), F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("low_id"))
     nodes = work.save(nodes.select("node", "n_copies", "low_id", "one.*"), "nodes")
     near = work.save(components(candidates(nodes, work)), "near")
+    for depth in range(DEPTH + 1):
+        for name in ("level", "found", "large"):
+            work.drop(f"{name}{depth}")
 
     # One task for each component, or for each pair of its parts: parts a <= b, side 1 for those of b.
     near = near.join(nodes.select("node", "doc_id", "row_key", "size"), "node")
