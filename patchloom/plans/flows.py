@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import codec, packets as wire
 from ..functions.schema import check_schema_compat
 from ..operators import dataplane, delivery, rpc, subs
 from .catalogue import query
@@ -253,6 +253,47 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("p.kind").cast("int").alias("kind"), "p.call_id", "p.name", "p.access", (F.octet_length("p.payload") - extra).cast("long").alias("payload_bytes"), "p.error")
 
 
+_KINDS = ", ".join(map(str, wire.LAYOUTS))
+
+
+@query(
+    "q_pkt_2_kinds",
+    f"""WITH k AS (SELECT *, list_extract([{_KINDS}], CAST(event_id % {len(wire.LAYOUTS)} + 1 AS INTEGER)) AS kind, event_id % 5 AS damage FROM events),
+e AS (SELECT *, CASE WHEN damage = 1 THEN 'trailing bytes' WHEN damage = 2 THEN 'truncated' END AS error FROM k)
+SELECT event_id, CAST(kind AS BIGINT) AS kind, error,
+CASE WHEN error IS NULL AND kind IN (5, 6, 12, 13, 14, 15) THEN event_id + 1 END AS id,
+CASE WHEN error IS NULL AND kind IN (2, 3, 7, 8, 9, 11, 13) THEN event_type END AS store,
+CASE WHEN error IS NULL AND kind IN (4, 5, 8, 9, 10, 11, 13, 14, 255) THEN event_type || '%&' || user_id END AS name,
+CASE WHEN error IS NULL AND kind IN (5, 10, 13) THEN user_id % 256 END AS access,
+CASE WHEN error IS NULL AND kind IN (7, 9, 11, 13) THEN event_id % 2 END AS action,
+CASE WHEN error IS NULL AND kind IN (2, 3, 4, 5, 6, 8, 10, 14, 15, 255) THEN props END AS payload,
+CASE WHEN error IS NULL AND kind IN (1, 5) THEN event_type END AS note FROM e""",
+)
+def packet_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of every kind in turn, written and read again; of five, one with a byte too many and one cut short."""
+    kind = F.get(F.array(*map(F.lit, wire.LAYOUTS)), (F.col("event_id") % len(wire.LAYOUTS)).cast("int"))
+    fields = {
+        "id": F.col("event_id") + 1,
+        "version": F.lit(1),
+        "store": F.col("event_type"),
+        "name": F.concat("event_type", F.lit("%&"), F.col("user_id").cast("string")),
+        "key": F.col("props"),
+        "message": F.lit(""),
+        "access": F.col("user_id") % 256,
+        "action": F.col("event_id") % 2,
+        "payload": F.col("props").cast("binary"),
+        "metadata": F.create_map(F.lit("note"), F.col("event_type"), F.lit("at"), F.lit("")),
+    }
+    raw, damage = F.col("raw"), F.col("event_id") % 5
+    rows = events(spark, sf_dir).select("event_id", wire.encode_any(kind, fields).alias("raw"))
+    damaged = F.when(damage == 1, F.concat(raw, F.lit(b"\x00"))).when(damage == 2, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).otherwise(raw)
+    p = rows.select("event_id", wire.decode(damaged).alias("p"))
+    return p.select(
+        "event_id", F.col("p.kind").cast("long").alias("kind"), "p.error", "p.id", "p.store", "p.name", "p.access", "p.action", F.col("p.payload").cast("string").alias("payload"),
+        F.try_element_at("p.metadata", F.lit("note")).alias("note"),
+    )
+
+
 @query(
     "q_rpc_1_answers",
     """WITH c AS (SELECT event_id AS call_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'click'),
