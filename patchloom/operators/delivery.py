@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def catch_up_first(rows: DataFrame, viewer: Sequence[str], is_baseline: Column, order: Sequence[str]) -> DataFrame:
@@ -14,26 +17,43 @@ def catch_up_first(rows: DataFrame, viewer: Sequence[str], is_baseline: Column,
     return rows.withColumn("position", F.row_number().over(w).cast("long"))
 
 
+def _anchors(at: str, length: int):
+    """Adds the anchor to sorted rows, where ``_fresh`` marks the first one of each island."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = 0
+        for batch in batches:
+            column = batch.column(at)
+            t = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            fresh = batch.column("_fresh").to_numpy(zero_copy_only=False).astype(bool)
+            anchors = np.empty(len(t), np.int64)
+            edges = np.unique(np.concatenate(([0], np.flatnonzero(fresh), [len(t)]))).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                i = lo
+                while i < hi:
+                    if (i == lo and fresh[lo]) or t[i] >= anchor + length:
+                        anchor = int(t[i])
+                    end = i + max(1, int(np.searchsorted(t[i:hi], anchor + length)))
+                    anchors[i:end], i = anchor, end
+            kept = [c for c in batch.schema.names if c != "_fresh"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(anchors, mask=column.is_null().to_numpy(zero_copy_only=False))], [*kept, "anchor"])
+
+    return task
+
+
 def anchored_windows(rows: DataFrame, keys: Sequence[str], at: str, order: str, length: int) -> DataFrame:
     """Adds ``anchor``: the time of the first row of its window; a window lasts ``length`` and is not extended.
 
-    ``at`` is a number (such as microseconds). A gap of ``length`` or more always ends a window, so
-    the fold runs over the rows between such gaps and not over a whole key.
+    ``at`` is a number (such as microseconds); a row without one has no anchor. A gap of ``length``
+    or more always ends a window, so rows are dealt by the islands between such gaps and not by
+    whole keys. A task reads its islands as a sorted stream and holds one anchor.
     """
     w = Window.partitionBy(*keys).orderBy(at, order)
-    gap = F.coalesce((F.col(at) - F.lag(at).over(w) >= length).cast("int"), F.lit(1))
-    rows = rows.withColumn("_island", F.sum(gap).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    bundle = F.sort_array(F.collect_list(F.struct(F.col(at).alias("_at"), F.col(order).alias("_order"), F.struct(*(c for c in rows.columns if c != "_island")).alias("_row"))))
-    grouped = rows.groupBy(*keys, "_island").agg(bundle.alias("_rows"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        anchor = F.when(acc["anchor"].isNull() | (r["_at"] >= acc["anchor"] + length), r["_at"].cast("long")).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(anchor)).alias("out"))
-
-    anchors = F.aggregate("_rows", start, step)["out"]
-    pairs = F.zip_with("_rows", anchors, lambda r, a: F.struct(r["_row"].alias("row"), a.alias("anchor")))
-    return grouped.select(F.explode(pairs).alias("p")).select("p.row.*", "p.anchor")
+    kind = StructType([*rows.schema.fields, StructField("anchor", LongType())])
+    rows = rows.withColumn("_fresh", F.coalesce((F.col(at) - F.lag(at).over(w) >= length).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    dealt = rows.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", at, F.desc("_fresh"))
+    return dealt.drop("_island").mapInArrow(_anchors(at, length), kind)
 
 
 def admitted(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, most_rows: int, most_bytes: int) -> DataFrame:

@@ -163,3 +163,19 @@ def test_works_without_llm(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q_app_1_replay' in q and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_anchors_of_a_key_without_gaps(spark):
+    """A key whose rows never leave a gap, with ties and a row without a time, over many batches."""
+    rng = random.Random(5)
+    times = sorted(rng.choices(range(20_000), k=30_000))
+    rows = [("hot", t, n) for n, t in enumerate(times)] + [("cold", t, n) for n, t in enumerate((0, 9, 10, 500, 509, 520))] + [("none", None, 0)]
+    rng.shuffle(rows)
+    got = delivery.anchored_windows(spark.createDataFrame(rows, "k string, t long, n long"), ["k"], "t", "n", 10).groupBy("k", "anchor").count().collect()
+    want = {("none", None): 1}
+    for key in ("hot", "cold"):
+        anchor = None
+        for t in sorted(t for k, t, _ in rows if k == key):
+            anchor = t if anchor is None or t >= anchor + 10 else anchor
+            want[key, anchor] = want.get((key, anchor), 0) + 1
+    assert {(r[0], r[1]): r[2] for r in got} == want
