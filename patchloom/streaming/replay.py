@@ -1,4 +1,4 @@
-"""Streaming twins: replay of a growing change log, and active subscriptions.
+"""Replay of a growing change log as a stream.
 
 State between batches is a table in the shared folder: each micro-batch folds its own rows, joins
 them with what the entities it touches held before, and writes the next version. Replaying a batch
