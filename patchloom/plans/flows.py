@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import codec, packets as wire
+from ..functions import codec, records
+from ..functions import packets as wire
 from ..functions.schema import check_schema_compat
 from ..operators import dataplane, delivery, rpc, subs
 from .catalogue import query
@@ -253,6 +255,40 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("p.kind").cast("int").alias("kind"), "p.call_id", "p.name", "p.access", (F.octet_length("p.payload") - extra).cast("long").alias("payload_bytes"), "p.error")
 
 
+#: The record that q_cod_3 writes and reads.
+NOTE = T.StructType([
+    T.StructField("id", T.LongType(), True, {"fID": 1}),
+    T.StructField("name", T.StringType(), True, {"fID": 2}),
+    T.StructField("at", T.TimestampType(), True, {"fID": 3}),
+    T.StructField("pair", T.ArrayType(T.LongType()), True, {"fID": 4}),
+    T.StructField("tags", T.MapType(T.StringType(), T.LongType()), True, {"fID": 5}),
+    T.StructField("maybe", T.LongType(), True, {"fID": 6, "optional": True}),
+])
+
+
+@query(
+    "q_cod_3_records",
+    """SELECT event_id AS id, event_type AS name, epoch_us(ts) // 1000 AS at_ms, event_id AS first, -user_id AS second, user_id AS tag, CASE WHEN event_id % 2 = 1 THEN event_id % 4 - 1 END AS maybe,
+CAST(NULL AS VARCHAR) AS error FROM events""",
+)
+def record_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fielded records with a list, a map and an optional value, written and read again."""
+    value = F.struct(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("name"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.array("event_id", -F.col("user_id")).alias("pair"),
+        F.create_map("event_type", "user_id").alias("tags"),
+        F.when(F.col("event_id") % 2 == 1, F.col("event_id") % 4 - 1).alias("maybe"),
+    )
+    raw = events(spark, sf_dir).select(records.record(value, NOTE).alias("raw"))
+    p = raw.select(records.decode(F.col("raw"), NOTE).alias("p")).select("p.value.*", "p.error")
+    return p.select(
+        "id", "name", F.unix_millis("at").alias("at_ms"), F.get("pair", F.lit(0)).alias("first"), F.get("pair", F.lit(1)).alias("second"),
+        F.try_element_at("tags", F.col("name")).alias("tag"), "maybe", "error",
+    )
+
+
 _KINDS = ", ".join(map(str, wire.LAYOUTS))
 
 
