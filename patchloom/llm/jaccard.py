@@ -12,8 +12,9 @@ What comes out of buckets is not pairs but, for each bucket, a star of each set
 sketches connect, so rows stay linear in the bucket. A large bucket whose nodes all agree with its
 first one is not split but becomes one star, and so does one that splitting cannot make small. The
 candidate components that the stars make up are then compared exactly, each pair of shingle sets
-in one place: a component lies in one task or, if its sets are many, in one task for each pair of
-its parts. The task counts links and returns stars of the true links, whose components are the
+in one place: a component lies in one task or, if its sets or their shingles are many, in one task
+for each pair of its parts. The task compares strips of rows, so that its memory does not grow with
+the square of the sets, counts links and returns stars of the true links, whose components are the
 classes. No pair is capped, dropped or sent anywhere.
 
 Sets are compared by 64-bit shingle hashes, nodes told apart by 128-bit digests of them.
@@ -43,8 +44,10 @@ from .components import components
 SKETCH, BRANCHES, SMALL, DEPTH = 64, 3, 4096, 4
 #: Of SKETCH agreements that a candidate needs: far below what a similarity of 0.8 gives (51, deviation 3.2).
 AGREE = 0.5
-#: Shingle hashes that one task compares at once.
-PART = 1 << 20
+#: Shingle hashes, and nodes, of one part of a component.
+PART, PART_NODES = 1 << 20, 4096
+#: Cells of any matrix that a comparison holds.
+CELLS = 1 << 21
 _TURN = (np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 #: Of pairs at the threshold.
@@ -206,32 +209,42 @@ def candidates(nodes: DataFrame, work: Workspace, small: int = SMALL, depths: in
     return out
 
 
-def _overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of all sets with each other, or with the others."""
+def _overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Strips (i, j, sizes) of intersections: of sets from the i-th on with the others (j is 0), or with the sets from the j-th on (j is i)."""
     every = sets if others is None else sets + others
     owner = np.repeat(np.arange(len(every)), [len(s) for s in every])
     _, place, df = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     shared = df[place] > 1
     owner, place = owner[shared], place[shared]
-    names, place = np.unique(place, return_inverse=True)
-    n, m = len(sets), len(every)
-    out = np.zeros((n, n if others is None else m - n), np.float32)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    for a in range(0, len(names), 2048):
-        lo, hi = np.searchsorted(place, (a, a + 2048))
-        has = np.zeros((m, min(2048, len(names) - a)), np.float32)
-        has[owner[lo:hi], place[lo:hi] - a] = 1
-        out += has[:n] @ (has if others is None else has[n:]).T
-    return out
-
-
-def _similar(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    both = _overlaps(sets, others).astype(np.float64)
-    x = np.array([len(s) for s in sets])[:, None]
-    y = np.array([len(s) for s in (others or sets)])[None, :]
-    near = both >= threshold * (x + y - both) - 1e-9
-    return np.nonzero(np.triu(near, 1) if others is None else near)
+    n, m = len(sets), len(every)
+    width = max(1, min(2048, CELLS // m))
+    rows = max(1, CELLS // max(1, n if others is None else m - n))
+    for lo in range(0, n, rows):
+        hi, begin = min(n, lo + rows), lo if others is None else n
+        named = np.zeros(len(df), bool)  # only what the strip holds
+        named[place[(owner >= lo) & (owner < hi)]] = True
+        held = named[place] & (((owner >= lo) & (owner < hi)) | (owner >= begin))
+        who, what = owner[held], (np.cumsum(named) - 1)[place[held]]
+        out = np.zeros((hi - lo, m - begin), np.float32)
+        for a in range(0, int(named.sum()), width):
+            x, y = np.searchsorted(what, (a, a + width))
+            has = np.zeros((m, width), np.float32)
+            has[who[x:y], what[x:y] - a] = 1
+            out += has[lo:hi] @ has[begin:].T
+        yield lo, lo if others is None else 0, out
+
+
+def _similar(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Similar pairs, strip by strip: places in sets and in the others, or the lower and the higher place in sets."""
+    left = np.array([len(s) for s in sets])
+    right = left if others is None else np.array([len(s) for s in others])
+    for i, j, sizes in _overlaps(sets, others):
+        both = sizes.astype(np.float64)
+        near = both >= threshold * (left[i : i + len(both), None] + right[None, j:] - both) - 1e-9
+        a, b = np.nonzero(np.triu(near, 1) if others is None else near)
+        yield a + i, b + j
 
 
 def _verify(shingle: int, threshold: float):
@@ -250,12 +263,14 @@ def _verify(shingle: int, threshold: float):
                     second = [i for i in members if side[i] == 1]
                     if not first or not second:
                         continue
-                    a, b = _similar([sets[i] for i in first], [sets[i] for i in second], threshold)
-                    members, b = first + second, b + len(first)
+                    found, members, after = _similar([sets[i] for i in first], [sets[i] for i in second], threshold), first + second, len(first)
                 else:
-                    a, b = _similar([sets[i] for i in members], None, threshold)
-                links = np.bincount(a, minlength=len(members)) + np.bincount(b, minlength=len(members))
-                root = _roots(len(members), a, b)
+                    found, after = _similar([sets[i] for i in members], None, threshold), 0
+                n = len(members)
+                links, root = np.zeros(n, np.int64), np.arange(n)
+                for a, b in found:
+                    links += np.bincount(a, minlength=n) + np.bincount(b + after, minlength=n)
+                    root = _roots(n, np.append(np.arange(n), a), np.append(root, b + after))
                 rows += [(nodes[members[i]], nodes[members[root[i]]], int(links[i])) for i in np.flatnonzero(links).tolist()]
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array([r[0] for r in rows], pa.binary()),
@@ -288,7 +303,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: f
 
     # One task for each component, or for each pair of its parts: parts a <= b, side 1 for those of b.
     near = near.join(nodes.select("node", "doc_id", "row_key", "size"), "node")
-    parts = near.groupBy("root").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
+    parts = near.groupBy("root").agg(F.ceil(F.greatest(F.sum("size") / PART, F.count(F.lit(1)) / PART_NODES)).cast("int").alias("parts"))
     near = near.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     near = near.select("root", "node", "doc_id", "row_key", "part", F.explode(others).alias("other")).select(

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -315,6 +317,38 @@ def test_jaccard_by_brute_force(spark, monkeypatch, small):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == brute_classes(docs)
 
 
+def test_jaccard_memory_of_many_short_texts():
+    """One task compares many short near copies without a matrix of all by all."""
+    n = 6000
+    texts = [" ".join([*(f"w{i}" for i in range(23)), f"last{k}"]).encode() for k in range(n)]
+    nodes = [k.to_bytes(16, "big") for k in range(n)]
+    batch = pa.RecordBatch.from_pydict({"task": pa.array([1] * n), "side": pa.array([0] * n), "crossed": pa.array([False] * n), "node": pa.array(nodes), "text": pa.array(texts)})
+    tracemalloc.start()
+    got = pa.Table.from_batches(jaccard._verify(5, 0.8)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_links"].to_pylist() == [n - 1] * n and set(got["root"].to_pylist()) == {nodes[0]}
+    assert peak < 400 << 20
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 300])
+def test_jaccard_strips(monkeypatch, cells):
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    sets = list(jaccard.shingle_sets([t.encode() for _, t in near_copies(random.Random(8), 3, 20, words=24)], 5))
+    pairs = {(i, j) for j in range(60) for i in range(60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    found = lambda *x: [(int(i), int(j)) for a, b in jaccard._similar(*x, 0.8) for i, j in zip(a, b, strict=True)]
+    assert sorted(found(sets, None)) == sorted((i, j) for i, j in pairs if i < j)
+    assert sorted(found(sets[:25], sets[25:])) == sorted((i, j - 25) for i, j in pairs if i < 25 <= j)
+
+
+def test_jaccard_parts_by_nodes(spark, monkeypatch):
+    """Components of few shingles and many nodes are parted too."""
+    monkeypatch.setattr(jaccard, "PART_NODES", 10)
+    docs = near_copies(random.Random(8), 2, 60, words=24)
+    got = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == brute_classes(docs)
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = [(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.join(odd_docs).collect()]
     assert len(got) == odd_docs.count() and got.count((9, 9, 0, 2)) == 2
