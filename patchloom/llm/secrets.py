@@ -5,6 +5,8 @@ character class: one count goes up and one goes down at each step, and the sum o
 follows from those two counts, so a step costs the same whatever the window. Windows at or above
 the class's threshold merge into spans. A candidate is suppressed if it matches the allow-list
 (words, numbers, slugs, UUIDs, placeholders); an entropy span that overlaps a base span is too.
+That is what ``scan`` lists, by its SQL. ``redacted`` takes away more: all of an entropy span, also
+where it joins a base span, and a placeholder clears the windows that hold it, not the whole run.
 
 Spans are in code points, end exclusive, and cover whole matches. Defined results: a null text is
 empty and has no spans; repeated rows are scanned one by one; other columns are ignored.
@@ -47,6 +49,8 @@ ALLOWED = (
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     r"(?i)(example|sample|placeholder|changeme|dummy|xxxx)",
 )
+#: The one of them that may be anywhere in a candidate.
+PLACEHOLDER = ALLOWED[-1]
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -71,8 +75,8 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _windows(value: Column, c: EntropyClass, window: int) -> Column:
-    """Merged intervals, relative to the candidate, of the windows at or above the threshold."""
+def _windows(value: Column, c: EntropyClass, window: int, but: str | None = None) -> Column:
+    """Merged intervals, relative to the candidate, of the windows at or above the threshold that do not match ``but``."""
     grown = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
     most = math.log2(window) * window - c.threshold * window + 1e-9  # of the sum of n * log2(n)
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -91,32 +95,36 @@ def _windows(value: Column, c: EntropyClass, window: int) -> Column:
         grows = F.coalesce(last["end"] >= i - window, F.lit(False))
         kept = F.when(grows, F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)).otherwise(acc["out"])
         span = F.struct(F.when(grows, last["start"]).otherwise(i - window).alias("start"), i.alias("end"))
-        out = F.when((i >= window) & (total <= most), F.concat(kept, F.array(span))).otherwise(acc["out"])
+        hit = (i >= window) & (total <= most)
+        if but is not None:
+            hit &= ~F.substring(value, i - window + 1, F.lit(window)).rlike(but)
+        out = F.when(hit, F.concat(kept, F.array(span))).otherwise(acc["out"])
         return F.struct(after.alias("counts"), total.alias("total"), out.alias("out"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step)["out"]
 
 
-def _entropy(text: Column, c: EntropyClass, window: int) -> Column:
-    candidates = F.filter(_found(text, c.pattern), lambda m: ~m["value"].rlike("|".join(f"(?:{p})" for p in ALLOWED)))
+def _entropy(text: Column, c: EntropyClass, window: int, whole: bool) -> Column:
+    allowed = [p for p in ALLOWED if p != PLACEHOLDER] if whole else ALLOWED
+    candidates = F.filter(_found(text, c.pattern), lambda m: ~m["value"].rlike("|".join(f"(?:{p})" for p in allowed)))
 
     def spans(m: Column) -> Column:
         return F.transform(
-            _windows(m["value"], c, window),
+            _windows(m["value"], c, window, PLACEHOLDER if whole else None),
             lambda s: F.struct((m["start"] + s["start"]).alias("start"), F.lit(KINDS.index(c.kind)).alias("rank"), (m["start"] + s["end"]).alias("end"), F.lit(c.kind).alias("kind")),
         )
 
     return F.flatten(F.transform(candidates, spans))
 
 
-def _scanned(docs: DataFrame, window: int) -> DataFrame:
-    """row (the columns but text), text, base and spans."""
+def _scanned(docs: DataFrame, window: int, whole: bool = False) -> DataFrame:
+    """row (the columns but text), text, base and spans; if ``whole``, no entropy span goes for a base span or a placeholder elsewhere."""
     text = F.col("text")
     docs = docs.select(other_columns(docs), text_or_empty().alias("text"))
     assign = F.filter(_found(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= LEAST_VALUE)
     docs = docs.select("row", "text", F.array_sort(F.concat(_spans(assign, "assign"), _spans(_found(text, ACCESS), "access"), _spans(_found(text, HEX), "hex"))).alias("base"))
-    added = docs.select("row", "text", "base", F.concat(*(_entropy(text, c, window) for c in CLASSES)).alias("added"))
-    free = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    added = docs.select("row", "text", "base", F.concat(*(_entropy(text, c, window, whole) for c in CLASSES)).alias("added"))
+    free = F.col("added") if whole else F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return added.select("row", "text", F.col("base").cast(SPAN).alias("base"), F.array_sort(F.concat("base", free)).cast(SPAN).alias("spans"))
 
 
@@ -128,7 +136,7 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def redacted(docs: DataFrame, window: int = WINDOW, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in text replaced by the mark, and n_chars counted again where it changed; a null text stays null."""
-    found = _scanned(docs.select("*", F.col("text").isNull().alias("_no_text")), window)
+    found = _scanned(docs.select("*", F.col("text").isNull().alias("_no_text")), window, whole=True)
     changed = F.size("spans") > 0
     text = F.when(F.col("row._no_text"), F.lit(None)).otherwise(redact(F.col("text"), F.col("spans"), mark))
     out = found.select("row", changed.alias("changed"), text.alias("text"))
