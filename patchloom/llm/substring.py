@@ -1,7 +1,8 @@
 """Substring dedup: repeated fixed-length token windows become maximal removal intervals.
 
 Every window of ``width`` words gets a Rabin-Karp hash that rolls over the text. Documents are
-cut into blocks by ranges of doc_id. A block sends each of its distinct window hashes once, as
+cut into blocks of about equal bytes by ranges of (doc_id, hash of the text), so that a frequent or
+missing doc_id fills as many blocks as it needs; copies of one row may go to several. A block sends each of its distinct window hashes once, as
 sorted 8-byte keys packed by ranges of the hash space; Spark brings one hash range of all blocks
 together, where the lowest block that holds a hash is found, and the answer, one bit for each key
 sent, goes back to the block. A window is repeated if an earlier block has it or if it started
@@ -11,12 +12,15 @@ Windows are equal if their 64-bit hashes are; with n distinct windows the odds t
 collide are about n**2 / 2**65.
 
 Defined results: a null text has no words; texts under ``width`` words have no window; rows that
-share a doc_id count as separate documents ordered by text, so a repeated row loses its windows;
+share a doc_id count as separate documents ordered by a hash of the text, so a repeated row loses
+its windows;
 null ids come first. Other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,35 +31,70 @@ from ._common import text_volume
 
 #: Text of one block, and keys of one hash range, in bytes.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
-#: Cuts taken as quantiles of doc_id; each part between them is cut further in equal widths.
-QUANTILES = 1000
+#: Sampled points for each block, from which cuts are taken, and most of them in all.
+POINTS, MOST_POINTS = 64, 1 << 18
+#: Bytes that a row counts for besides its text.
+ROW_BYTES = 16
 
 SENT = "bucket int, block long, keys binary"
 ANSWERS = "block long, bucket int, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
+def _cuts(docs: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """Sorted keys (has an id, doc_id or 0, hash) that cut docs into n blocks of about equal bytes; a heavy key comes more than once."""
+    rows, volume = text_volume(docs)
+    points = min(POINTS * n, MOST_POINTS)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    taken = F.floor(size * points / max(1, volume + ROW_BYTES * rows) + F.rand(17))
+    key = (F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")
+    got = docs.select(*key, taken.alias("n")).filter("n > 0").toArrow()
+    some, ids, hashes = (got[c].to_numpy() for c in ("some", "id", "hash"))
+    order = np.lexsort((hashes, ids, some))
+    reach = np.cumsum(got["n"].to_numpy()[order])
+    if not len(reach):
+        return []
+    at = order[np.searchsorted(reach, np.arange(1, n) * (reach[-1] / n), "right").clip(max=len(order) - 1)]
+    return list(zip(some[at].tolist(), ids[at].tolist(), hashes[at].tolist(), strict=True))
+
+
 def range_blocks(docs: DataFrame, n: int) -> Column:
-    """A block number for each row that never falls as doc_id rises; a null id is in block 0."""
-    coarse = min(n, QUANTILES)
-    fine = -(-n // coarse)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 20 * QUANTILES)).first()[0]
+    """A block number below n for each row of docs (doc_id, hash, text) that never falls as (doc_id, hash) rises; null ids are first."""
+    cuts = _cuts(docs, n)
     if not cuts:
         return F.lit(0).cast("long")
-    cuts = sorted(set(cuts))
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts[1:-1])) if len(cuts) > 2 else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    low = F.element_at(F.array(*(F.lit(c).cast("long") for c in cuts)), part + 1)
-    high = F.element_at(F.array(*(F.lit(c).cast("long") for c in [*cuts[1:], cuts[-1]])), part + 1)
-    share = (F.col("doc_id") - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1.0))
-    step = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor(share * fine)))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part * fine + step).cast("long")
+    keys = sorted(set(cuts))
+    times = Counter(cuts)
+    listed = lambda x, kind: F.expr(f"array({','.join(map(str, x))})").cast(f"array<{kind}>")
+    ids, hashes = listed([f"{k[1]}L" for k in keys], "long"), listed([f"{k[2]}L" for k in keys], "long")
+    upto = listed(np.cumsum([0] + [times[k] for k in keys]).tolist(), "long")
+    no_id = sum(not k[0] for k in keys)
+    none = F.col("doc_id").isNull()
+    first = F.when(none, 0).otherwise(no_id)
+    most = F.when(none, no_id).otherwise(len(keys) - no_id)
+    own = F.coalesce("doc_id", F.lit(0))
+
+    def further(at: Column, step: Column) -> Column:
+        i = first + at + step - 1
+        reached = (F.get(ids, i) < own) | ((F.get(ids, i) == own) & (F.get(hashes, i) <= F.col("hash")))
+        return F.when((at + step <= most) & reached, at + step).otherwise(at)
+
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(keys).bit_length()))))
+    passed = F.aggregate(steps, F.lit(0), further)
+    block = F.get(upto, first + passed)
+    if max(times.values()) == 1:
+        return block
+    # Rows of a key that is cut at more than once are equal, so any of its blocks will do.
+    last = first + passed - 1
+    same = (passed > 0) & (F.get(ids, last) == own) & (F.get(hashes, last) == F.col("hash"))
+    spread = F.floor(F.rand(18) * F.get(listed([times[k] for k in keys], "long"), last))
+    return block - F.when(same, spread).otherwise(F.lit(0))
 
 
 def _ordered(t: pa.Table) -> tuple[list, list[bytes | None]]:
-    ids, texts = t["doc_id"].to_pylist(), t["text"].to_pylist()
+    ids, texts, hashes = t["doc_id"].to_pylist(), t["text"].to_pylist(), t["hash"].to_pylist()
     texts = [x.encode() if isinstance(x, str) else x for x in texts]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i], texts[i] or b""))
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
@@ -142,7 +181,7 @@ def remove(width: int, buckets: int):
 
 def deduplicate(docs: DataFrame, width: int = 20, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), spans (word intervals removed)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
     _, volume = text_volume(docs)
     blocks = max(1, -(-volume // block_bytes))
     buckets = max(1, -(-volume * 4 // 3 // range_bytes))  # about a key for six bytes of text

@@ -281,6 +281,30 @@ def test_substring_by_brute_force(spark, odd_docs, no_docs):
     assert substring.deduplicate(no_docs).count() == 0
 
 
+def test_substring_splits_hot_ids(spark):
+    """Rows without an id, rows of one id and copies of one row are dealt to blocks of about equal bytes, with the same result."""
+    rng = random.Random(16)
+    text = lambda: " ".join(f"v{rng.randrange(40)}" for _ in range(rng.randrange(4, 60)))
+    docs = [(i, text()) for i in [None] * 200 + [5] * 200 + list(range(100))] + [(7, "copy of one row " * 10)] * 200 + [(-(2**63), "least"), (2**63 - 1, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.xxhash64(F.col("text").cast("binary")))
+    total = sum(len(t or "") for _, t in docs)
+    sizes = d.withColumn("block", substring.range_blocks(d, 20)).groupBy("block").agg(F.sum(F.octet_length("text")).alias("b"), F.max("doc_id").alias("high"), F.min("doc_id").alias("low")).orderBy("block").collect()
+    assert max(r["b"] for r in sizes) < 3 * total / 20 and all(0 <= r["block"] < 20 for r in sizes)
+    ids = [r for r in sizes if r["low"] is not None]
+    assert all(a["high"] <= b["low"] for a, b in zip(ids[:-1], ids[1:], strict=True))
+    seen, expected = set(), []
+    for r in sorted(d.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"])):
+        w, gone = (r["text"] or "").split(), set()
+        for k in range(len(w) - 2):
+            x = tuple(w[k : k + 3])
+            gone |= set(range(k, k + 3)) if x in seen else set()
+            seen.add(x)
+        expected.append((str(r["doc_id"]), len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    for block in (8 << 20, 2000):
+        got = substring.deduplicate(d, 3, block, block).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(expected)
+
+
 # 7 Jaccard join
 
 
