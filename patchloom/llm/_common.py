@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "file:/tmp/checkpoints"
+#: Used only where the session names no spark.checkpoint.dir and runs on this machine alone, as in tests.
+LOCAL_DIR = "file:/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets a checkpoint folder if there is none."""
+    """The folder that driver and executors share; sets a checkpoint folder if there is none and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = FALLBACK_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = LOCAL_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
