@@ -343,5 +343,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall:
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _row_key().alias("_row_key"))
     has_words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
     same_id = (F.col("doc_id") == F.col("_kept_id")) | (F.col("doc_id").isNull() & F.col("_kept_id").isNull())
-    chosen = rows.filter(has_words).join(kept, (F.col("_row_key") == F.col("_kept_key")) & same_id).dropDuplicates(["_row_key"])
-    return chosen.select(*docs.columns).union(rows.filter(~has_words).select(*docs.columns))
+    chosen = rows.filter(has_words).join(kept, (F.col("_row_key") == F.col("_kept_key")) & same_id)
+    # Of rows that share doc_id and text, the same one stays in every run.
+    others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    chosen = chosen.groupBy("_row_key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64(F.to_json(others)), F.to_json(others))).alias("row"))
+    return chosen.select(*(F.col("row")[c].alias(c) for c in docs.columns)).union(rows.filter(~has_words).select(*docs.columns))
