@@ -174,15 +174,21 @@ class Ensemble:
         return 1 / (1 + F.exp(-margin))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MOST_LABELLED) -> Ensemble:
-    """Fitted on the labelled documents among docs, at most ``most`` ids of those labelled."""
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MOST_LABELLED, mod: int = 3, held: int = 1) -> Ensemble:
+    """Fitted on a row of each of at most ``most`` labelled ids, those of least hash, whose crc32 modulo ``mod`` is not ``held``.
+
+    The ids are sought among the 4 * ``most`` labelled ones of least hash, so that no shuffle of all
+    ids is needed to pass over those that documents lack. Of rows that share an id, the one with the
+    least statistics is learnt from.
+    """
     ids = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(target).cast("int").alias("label")).dropna()
-    ids = ids.filter("label IN (0, 1)").groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
-    # Ids that documents lack would waste the sample; those of this side of the split are known from the id alone.
-    ids = ids.join(docs.select(F.col("doc_id").alias("label_id")).distinct(), "label_id", "left_semi")
-    sample = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(most).select("label_id", "label")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
-    got = measure(rows).limit(2 * most).toArrow().sort_by([("doc_id", "ascending"), ("n_bytes", "ascending")])
+    ids = ids.filter(F.col("label").isin(0, 1) & (crc_mod("label_id", mod) != held))
+    ids = ids.groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
+    wide = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(4 * most).select("label_id", "label")
+    there = docs.select("doc_id").join(F.broadcast(wide), F.col("doc_id") == F.col("label_id")).select("label_id", "label").distinct()
+    sample = there.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    rows = measure(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text"))
+    got = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*STATISTICS)).alias("row")).select("doc_id", "label", "row.*").toArrow().sort_by("doc_id")
     x = np.stack([got[n].to_numpy() for n in STATISTICS], axis=1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return Ensemble(x, got["label"].to_numpy().astype(np.float64))
 
@@ -190,6 +196,6 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; rules are learnt where crc32(doc_id) modulo ``mod`` is not ``held``."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", (crc_mod("doc_id", mod) == held).alias("held_out"))
-    model = train(docs.filter(~F.col("held_out")), labels)
+    model = train(docs, labels, mod=mod, held=held)
     scored = measure(docs).select("doc_id", "held_out", model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
