@@ -1,20 +1,23 @@
-"""Language-model scoring with a weighted backoff automaton of word bigrams.
+"""Language-model scoring with a weighted backoff automaton of word n-grams.
 
-States are the root and every word that occurs before another token in the training texts. A
-state has an arc for each token that followed its word, weighing log10 of the smoothed
-probability, and a failure arc to the root, weighing log10 of the mass left over; the root has an
-arc for each token, add-one smoothed. With c() counted in training,
+States are the root, every word that occurs before another token in the training texts, and, for
+orders above 2, every context of two words and more that occurs there at least twice. A state has
+an arc for each token that followed its context, weighing log10 of the smoothed probability, and a
+failure arc to the state of the context less its first word, weighing log10 of the mass left over;
+the root has an arc for each token, add-one smoothed. With c() counted in training,
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR)
+    p(w | u) = (c(u w) + PRIOR * p(w | u less its first word)) / (c(u) + PRIOR)
 
-so a failure arc of v weighs PRIOR / (c(v) + PRIOR). A text starts at the root, is read once from
+so a failure arc of u weighs PRIOR / (c(u) + PRIOR). A text starts at the root, is read once from
 left to right and ends with an end token.
 
 Counts cover the whole corpus and the model is never sent anywhere whole: documents are dealt
 into blocks, each block sends its distinct n-grams once, packed by ranges of the hash space with
 their training counts, Spark sums each range over all blocks, and each block gets back the counts
-of just the n-grams it holds. From those it builds its own part of the automaton.
+of just the n-grams it holds. From those it builds its own part of the automaton. Words and pairs
+are sent in one round; each higher order takes a round of its own, in which a block sends only
+n-grams whose context is a state, as it knows from the round before.
 
 N-grams are told apart by 64-bit hashes: with n distinct ones the odds of any collision are about
 n**2 / 2**65.
@@ -30,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,100 +65,165 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
-def pairs(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; at the first token of a text it stands for none."""
-    out = np.zeros(len(toks), np.uint64)
-    out[1:] = H.mix(toks[:-1] * H.BASE + toks[1:])
-    return out
+def least_state(length: int) -> int:
+    """How often a context of so many words must occur to be a state."""
+    return 1 if length < 2 else 2
 
 
 class Automaton:
-    """The states and arcs over the given tokens; counts are those of training."""
+    """The states and arcs over the given tokens; counts are those of training, ``more`` those of orders above 2."""
 
-    def __init__(self, uni: np.ndarray, uni_count: np.ndarray, bi: np.ndarray, bi_count: np.ndarray, total: int, distinct: int, prior: float) -> None:
+    def __init__(self, uni: np.ndarray, uni_count: np.ndarray, bi: np.ndarray, bi_count: np.ndarray, total: int, distinct: int, prior: float, *more: np.ndarray) -> None:
         self.uni, self.bi, self.prior = uni, bi, prior
-        self.uni_count, self.bi_count = uni_count.astype(np.float64), bi_count.astype(np.float64)
-        self.root = (self.uni_count + 1) / (total + distinct + 1)
+        self.counts = [c.astype(np.float64) for c in (uni_count, bi_count, *more)]
+        self.root = (self.counts[0] + 1) / (total + distinct + 1)
         self.known = uni_count > 0
         self.root_weight = np.log10(self.root)
-        self.failure = np.log10(prior / (self.uni_count + prior))  # 0 where the word is no state
-
-    def traverse(self, word: np.ndarray, arc: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 weight of each step; word, arc: places among the n-grams; first: where texts begin, at the root."""
-        weight = self.root_weight[word].copy()
-        state = np.empty(len(word), np.int64)
-        state[0:1], state[1:] = 0, word[:-1]
-        deep = np.ones(len(word), bool)
-        deep[first] = False
-        deep &= self.uni_count[state] > 0
-        v, w = state[deep], word[deep]
-        c = self.bi_count[arc[deep]]
-        by_arc = np.log10((c + self.prior * self.root[w]) / (self.uni_count[v] + self.prior))
-        weight[deep] = np.where(c > 0, by_arc, self.failure[v] + weight[deep])
+
+    def traverse(self, word: np.ndarray, arc: np.ndarray, first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """log10 weight of each step; word, arc, more: places among the n-grams of each order; first: where texts begin, at the root."""
+        weight, p = self.root_weight[word].copy(), self.root[word].copy()
+        begin = np.zeros(len(word), np.int64)
+        begin[first] = first
+        before = np.arange(len(word)) - np.maximum.accumulate(begin)
+        arcs = (word, arc, *more)
+        for n in range(1, len(arcs)):  # from the root up: what a failure arc of a longer context leads to is known
+            at = np.flatnonzero(before >= n)
+            at = at[arcs[n - 1][at - 1] >= 0]
+            context = self.counts[n - 1][arcs[n - 1][at - 1]]
+            state = context >= least_state(n)
+            at, context = at[state], context[state]
+            c = self.counts[n][arcs[n][at]]
+            weight[at] = np.where(c > 0, np.log10((c + self.prior * p[at]) / (context + self.prior)), np.log10(self.prior / (context + self.prior)) + weight[at])
+            p[at] = (c + self.prior * p[at]) / (context + self.prior)
         return weight
 
 
+class Ladder:
+    """The n-grams of a block, order by order: each order's places and training counts are known before the next is chosen."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        self.toks, self.first = tokens(texts)
+        self.before = np.arange(len(self.toks)) - np.repeat(self.first[:-1], np.diff(self.first))
+        self.hashes = self.toks
+        self.keys: list[np.ndarray] = []
+        self.arcs: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def choose(self) -> np.ndarray:
+        """Sets out the distinct n-grams of the next order whose context is a state; returns where they end."""
+        n = len(self.keys)
+        if n:
+            up = np.zeros(len(self.toks), np.uint64)
+            up[1:] = H.mix(self.hashes[:-1] * H.BASE + self.toks[1:])
+            self.hashes = up
+        at = np.flatnonzero(self.before >= n)
+        if n > 1:
+            context = self.arcs[n - 1][at - 1]
+            at = at[(context >= 0) & (self.counts[n - 1][context] >= least_state(n))]
+        keys, place = np.unique(self.hashes[at], return_inverse=True)
+        arc = np.full(len(self.toks), -1)
+        arc[at] = place
+        self.keys.append(keys)
+        self.arcs.append(arc)
+        return at
+
+    def answered(self, answers: pa.Table, buckets: int) -> None:
+        """The counts of the order chosen last."""
+        n, keys = len(self.keys), self.keys[-1]
+        counts, cuts = np.zeros(max(1, len(keys)), np.int64), H.split_by_bucket(keys, buckets)
+        mine = answers.filter(pc.equal(answers["n"], n))
+        for b, c in zip(mine["bucket"].to_pylist(), mine["counts"].to_pylist(), strict=True):
+            counts[cuts[b] : cuts[b + 1]] = H.unpacked_counts(zstandard.decompress(c), cuts[b + 1] - cuts[b])
+        self.counts.append(counts)
+
+
+def _texts(t: pa.Table) -> list[bytes]:
+    read = zstandard.ZstdDecompressor().decompress
+    return [read(x) for x in t["text"].to_pylist()]
+
+
+def _sent(ladder: Ladder, orders: list[tuple[int, np.ndarray, np.ndarray]], block: int, buckets: int) -> pa.Table:
+    """Rows of SENT; orders: n, the places of its n-grams in training texts, its keys."""
+    rows: dict[str, list] = {"n": [], "bucket": [], "keys": [], "counts": []}
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for n, places, keys in orders:
+        counts = np.bincount(places, minlength=len(keys))
+        cuts = H.split_by_bucket(keys, buckets)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            lo, hi = cuts[b], cuts[b + 1]
+            for name, x in (("n", n), ("bucket", b), ("keys", pack(H.packed(keys[lo:hi]))), ("counts", pack(H.packed_counts(counts[lo:hi])))):
+                rows[name].append(x)
+    return pa.table({
+        "n": pa.array(rows["n"], pa.int32()),
+        "bucket": pa.array(rows["bucket"], pa.int32()),
+        "block": pa.array([block] * len(rows["n"]), pa.int64()),
+        "keys": pa.array(rows["keys"], pa.binary()),
+        "counts": pa.array(rows["counts"], pa.binary()),
+    })
+
+
+def _learn(t: pa.Table, ladder: Ladder) -> np.ndarray:
+    return np.repeat(~np.array(t["held_out"].to_pylist(), bool), np.diff(ladder.first))
+
+
 def send(buckets: int):
+    """The words and pairs of a block."""
+
     def one_block(key: tuple, t: pa.Table) -> pa.Table:
-        texts, train = t["text"].to_pylist(), ~np.array(t["held_out"].to_pylist(), bool)
-        toks, first = tokens(texts)
-        learn = np.repeat(train, np.diff(first))
-        grams = pairs(toks, first)
-        inner = np.ones(len(toks), bool)
-        inner[first[:-1]] = False
-        rows: dict[str, list] = {"n": [], "bucket": [], "keys": [], "counts": []}
-        for n, hashes, counted in ((1, toks, learn), (2, grams[inner], learn[inner])):
-            keys, place = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(place[counted], minlength=len(keys))
-            cuts = H.split_by_bucket(keys, buckets)
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                lo, hi = cuts[b], cuts[b + 1]
-                for name, x in (("n", n), ("bucket", b), ("keys", H.packed(keys[lo:hi])), ("counts", H.packed_counts(counts[lo:hi]))):
-                    rows[name].append(x)
-        return pa.table({
-            "n": pa.array(rows["n"], pa.int32()),
-            "bucket": pa.array(rows["bucket"], pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(rows["n"]), pa.int64()),
-            "keys": pa.array(rows["keys"], pa.binary()),
-            "counts": pa.array(rows["counts"], pa.binary()),
-        })
+        ladder = Ladder(_texts(t))
+        learn = _learn(t, ladder)
+        orders = []
+        for n in (1, 2):
+            at = ladder.choose()
+            orders.append((n, ladder.arcs[-1][at[learn[at]]], ladder.keys[-1]))
+        return _sent(ladder, orders, key[0].as_py(), buckets)
+
+    return one_block
+
+
+def send_higher(order: int, buckets: int):
+    """The n-grams of an order above 2 whose context is a state, from the counts of all lower orders."""
+
+    def one_block(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+        ladder = Ladder(_texts(t))
+        for _ in range(1, order):
+            ladder.choose()
+            ladder.answered(answers, buckets)
+        at = ladder.choose()
+        learn = _learn(t, ladder)
+        return _sent(ladder, [(order, ladder.arcs[-1][at[learn[at]]], ladder.keys[-1])], key[0].as_py(), buckets)
 
     return one_block
 
 
 def answer(t: pa.Table) -> pa.Table:
     """One hash range of all blocks: the corpus-wide count of each n-gram that was sent."""
-    sent = [H.unpacked(k) for k in t["keys"].to_pylist()]
+    read, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    sent = [H.unpacked(read(k)) for k in t["keys"].to_pylist()]
     keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-    counts = np.concatenate([H.unpacked_counts(c, len(s)) for c, s in zip(t["counts"].to_pylist(), sent, strict=True)])
+    counts = np.concatenate([H.unpacked_counts(read(c), len(s)) for c, s in zip(t["counts"].to_pylist(), sent, strict=True)])
     total = np.zeros(len(keys), np.int64)
     np.add.at(total, place, counts)
     total = total[place]
     cut = np.split(total, np.cumsum([len(s) for s in sent])[:-1])
-    return pa.table({"n": t["n"], "bucket": t["bucket"], "block": t["block"], "counts": pa.array([H.packed_counts(c) for c in cut], pa.binary())})
+    return pa.table({"n": t["n"], "bucket": t["bucket"], "block": t["block"], "counts": pa.array([pack(H.packed_counts(c)) for c in cut], pa.binary())})
 
 
-def score_block(buckets: int, total: int, distinct: int, prior: float):
+def score_block(order: int, buckets: int, total: int, distinct: int, prior: float):
     def one_block(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        toks, first = tokens(t["text"].to_pylist())
-        grams = pairs(toks, first)
-        inner = np.ones(len(toks), bool)
-        inner[first[:-1]] = False
-        uni, word = np.unique(toks, return_inverse=True)
-        bi, place = np.unique(grams[inner], return_inverse=True)
-        counts = [np.zeros(len(k), np.int64) for k in (uni, bi)]
-        cuts = [H.split_by_bucket(k, buckets) for k in (uni, bi)]
-        for n, b, c in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-            lo, hi = cuts[n - 1][b : b + 2]
-            counts[n - 1][lo:hi] = H.unpacked_counts(c, hi - lo)
-        arc = np.zeros(len(toks), np.int64)
-        arc[inner] = place
-        if len(toks) == 0:
+        ladder = Ladder(_texts(t))
+        first = ladder.first
+        for _ in range(order):
+            ladder.choose()
+            ladder.answered(answers, buckets)
+        if len(ladder.toks) == 0:
             steps = base = known = np.zeros(0)
         else:
-            model = Automaton(uni, counts[0], bi, counts[1] if len(bi) else np.zeros(1), total, distinct, prior)
-            steps, base, known = model.traverse(word, arc, first[:-1]), model.root_weight[word], model.known[word]
-        add = (lambda x: np.add.reduceat(x, first[:-1])) if len(toks) else (lambda x: x)
+            (word, arc, *more), (uni, bi, *higher) = ladder.arcs, ladder.counts
+            model = Automaton(ladder.keys[0], uni, ladder.keys[1], bi, total, distinct, prior, *higher)
+            steps, base, known = model.traverse(word, arc, first[:-1], *more), model.root_weight[word], model.known[word]
+        add = (lambda x: np.add.reduceat(x, first[:-1])) if len(ladder.toks) else (lambda x: x)
         return pa.table({
             "doc_id": t["doc_id"],
             "held_out": t["held_out"],
@@ -166,6 +236,13 @@ def score_block(buckets: int, total: int, distinct: int, prior: float):
     return one_block
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(x) for x in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
 def _vocabulary(buckets: int):
     """Distinct training words of a task by hash range, and its number of tokens."""
 
@@ -209,16 +286,23 @@ def totals(train: DataFrame, volume: int, range_bytes: int = RANGE_BYTES) -> tup
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def score(docs: DataFrame, mod: int = 7, held: int = 2, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, mod: int = 7, held: int = 2, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, order: int = 2
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row.
 
-    Training texts are those whose crc32(doc_id) modulo ``mod`` is not ``held``.
+    Training texts are those whose crc32(doc_id) modulo ``mod`` is not ``held``; ``order`` is 2 or more.
     """
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"), (crc_mod("doc_id", mod) == held).alias("held_out"))
     _, volume = text_volume(docs)
     blocks, buckets = max(1, -(-volume // block_bytes)), max(1, -(-volume * 4 // 3 // range_bytes))
     n, v = totals(docs.filter(~F.col("held_out")), volume, range_bytes)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    # A row's block follows from the row, so that a task that runs again deals alike; texts travel compressed.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = dealt.mapInArrow(_compressed, dealt.schema).repartition(blocks, "block")
     answers = dealt.groupBy("block").applyInArrow(send(buckets), SENT).groupBy("n", "bucket").applyInArrow(answer, ANSWERS)
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(buckets, n, v, prior), RESULT)
+    for k in range(3, order + 1):
+        sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send_higher(k, buckets), SENT)
+        answers = answers.unionByName(sent.groupBy("n", "bucket").applyInArrow(answer, ANSWERS))
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(order, buckets, n, v, prior), RESULT)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
