@@ -6,8 +6,9 @@ the last two words read, how many words can be skipped because no pattern has th
 its end. Where the shift is zero, the pair's hash selects a bucket of patterns, and their words
 are compared one by one with the document's.
 
-The patterns are broadcast only in parts of up to ``part_bytes`` of item text; a larger benchmark
-takes several passes, each over whole documents and adding to the hits of the pass before.
+The tables are made on the driver and broadcast, for parts of up to ``part_bytes`` of item text, as
+arrays that a worker reads once; a larger benchmark takes several passes, each over whole documents
+and adding to the hits of the pass before.
 
 Defined results: null or empty texts have no words and no hits; null or empty items have no
 pattern; an item with a null id covers words but has no name to list, repeated items count once by
@@ -31,35 +32,47 @@ FOUND = "{row}, text binary, n_words long, spans array<struct<start:long,end:lon
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _blocks(hashes: np.ndarray, block: int) -> np.ndarray:
+    """Hash of the block that ends at each word (along the last axis)."""
+    if block == 1:
+        return hashes
+    out = hashes.copy()
+    out[..., 1:] = H.mix(hashes[..., :-1] * H.BASE + hashes[..., 1:])
+    return out
+
+
 class ShiftTable:
-    """Patterns of one length: which positions to skip, and which patterns to compare at the others."""
+    """Patterns of one length: which positions to skip, and which patterns to compare at the others.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]]) -> None:
-        self.words = len(next(iter(patterns)))
+    Made once, on the driver, of arrays only. Pattern k, in the order of its last block's hash, is
+    ``text[start[k]:end[k]]``, words with one space between; its items are those from owner_first[k] on.
+    """
+
+    def __init__(self, hashes: np.ndarray, text: bytes, start: np.ndarray, end: np.ndarray, owners: list[list[int]]) -> None:
+        self.words = hashes.shape[1]
         self.block = min(2, self.words)
         most = self.words - self.block + 1
-        rows = [H.words([b" ".join(p)], H.ALNUM).hash for p in patterns]
-        blocks = np.stack([self.blocks(r)[self.block - 1 :] for r in rows])
-        self.bits = max(12, int(blocks.size * 8).bit_length())
+        blocks = _blocks(hashes, self.block)[:, self.block - 1 :]
+        self.bits = max(12, int(blocks.size * 4).bit_length())
         self.shift = np.full(1 << self.bits, min(most, 255), np.uint8)
         for j in range(blocks.shape[1]):  # blocks nearer to the end come later and allow less
             self.shift[blocks[:, j] >> np.uint64(64 - self.bits)] = min(most - 1 - j, 255)
-        self.buckets: dict[int, list[tuple[tuple[bytes, ...], list[int]]]] = {}
-        for last, (p, items) in zip(blocks[:, -1].tolist(), patterns.items(), strict=True):
-            self.buckets.setdefault(last, []).append((p, items))
-
-    def blocks(self, hashes: np.ndarray) -> np.ndarray:
-        """Hash of the block that ends at each word."""
-        if self.block == 1:
-            return hashes
-        out = hashes.copy()
-        out[1:] = H.mix(hashes[:-1] * H.BASE + hashes[1:])
-        return out
+        order = np.argsort(blocks[:, -1], kind="stable")
+        self.last, self.text, self.start, self.end = blocks[order, -1], text, start[order], end[order]
+        sorted_owners = [owners[k] for k in order.tolist()]
+        self.owner_first = np.concatenate(([0], np.cumsum([len(x) for x in sorted_owners])))
+        self.owners = np.array([k for x in sorted_owners for k in x], np.int64)
 
     def search(self, w: H.Words) -> Iterator[tuple[int, int, int, list[int]]]:
         """Text, first word, end and items of each occurrence."""
-        blocks = self.blocks(w.hash)
-        shift = self.shift[blocks >> np.uint64(64 - self.bits)].tobytes()
+        blocks = _blocks(w.hash, self.block)
+        shift = self.shift[blocks >> np.uint64(64 - self.bits)]
+        zero = np.flatnonzero(shift == 0)
+        low, high = np.searchsorted(self.last, blocks[zero]), np.searchsorted(self.last, blocks[zero], "right")
+        shift[zero[low == high]] = 1  # no bucket of that hash
+        found = low < high
+        buckets = dict(zip(zero[found].tolist(), zip(low[found].tolist(), high[found].tolist(), strict=True), strict=True))
+        shift = shift.tobytes()
         bounds = w.first.tolist()
         for d, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             i = lo + self.words - 1
@@ -67,24 +80,41 @@ class ShiftTable:
                 if skip := shift[i]:
                     i += skip
                     continue
-                for pattern, items in self.buckets.get(int(blocks[i]), ()):
-                    a = i - self.words + 1
-                    if all(w.raw[w.start[a + k] : w.end[a + k]] == x for k, x in enumerate(pattern)):
-                        yield d, a - lo, i + 1 - lo, items
+                a = i - self.words + 1
+                here = b" ".join(w.raw[x:y] for x, y in zip(w.start[a : i + 1].tolist(), w.end[a : i + 1].tolist(), strict=True))
+                for k in range(*buckets[i]):
+                    if here == self.text[self.start[k] : self.end[k]]:
+                        yield d, a - lo, i + 1 - lo, self.owners[self.owner_first[k] : self.owner_first[k + 1]].tolist()
                 i += 1
 
 
 def shift_tables(items: list[bytes | None], width: int) -> list[ShiftTable]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-    for k, text in enumerate(items):
-        w = H.words([text], H.ALNUM)
-        parts = [w.raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        n = min(width, len(parts))
-        for i in range(len(parts) - n + 1 if n else 0):
-            owners = by_length.setdefault(n, {}).setdefault(tuple(parts[i : i + n]), [])
-            if not owners or owners[-1] != k:
-                owners.append(k)
-    return [ShiftTable(p) for _, p in sorted(by_length.items())]
+    w = H.words(items, H.ALNUM)
+    text = b" ".join(w.raw[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True))
+    sizes = w.end - w.start
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    end = begin + sizes
+    n_words = np.diff(w.first)
+    length = np.minimum(n_words, width)
+    made = []
+    for n in np.unique(length[length > 0]).tolist():
+        mine = np.flatnonzero(length == n)
+        count = n_words[mine] - n + 1
+        owner = np.repeat(mine, count)
+        at = np.arange(count.sum()) + np.repeat(w.first[:-1][mine] - np.cumsum(count) + count, count)
+        places: dict[bytes, int] = {}
+        owners: list[list[int]] = []
+        first: list[int] = []
+        for k, i, x, y in zip(owner.tolist(), at.tolist(), begin[at].tolist(), end[at + n - 1].tolist(), strict=True):
+            p = places.setdefault(text[x:y], len(owners))
+            if p == len(owners):
+                owners.append([k])
+                first.append(i)
+            elif owners[p][-1] != k:
+                owners[p].append(k)
+        i = np.array(first)
+        made.append(ShiftTable(w.hash[i[:, None] + np.arange(n)], text, begin[i], end[i + n - 1], owners))
+    return made
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -97,14 +127,9 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _search(patterns, width: int):
-    made: list = []
-
+def _search(patterns):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            ids, texts = patterns.value
-            made.extend((ids, shift_tables(texts, width)))
-        ids, tables = made
+        ids, tables = patterns.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             spans = [[(s["start"], s["end"]) for s in x or ()] for x in batch.column("spans").to_pylist()]
@@ -148,8 +173,8 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, part_bytes: int
     work = Workspace(spark) if parts > 1 else None
     for k in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        patterns = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows]))
-        found = found.mapInArrow(_search(patterns, width), schema)
+        patterns = spark.sparkContext.broadcast(([r["item_id"] for r in rows], shift_tables([bytes(r["text"]) for r in rows], width)))
+        found = found.mapInArrow(_search(patterns), schema)
         if work:
             found = work.save(found, f"part{k}")
             if k:
