@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -105,9 +106,109 @@ def test_redaction_of_joined_secrets(spark):
     assert re.fullmatch(r"see \w*\[SECRET\] now", got[2])
 
 
+def brute_windows(value, c, but=None):
+    """Merged windows of a candidate at or above the threshold, each counted afresh."""
+    out = []
+    for i in range(len(value) - secrets.WINDOW + 1):
+        x = value[i : i + secrets.WINDOW]
+        entropy = -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+        if entropy < c.threshold - 1e-10 or (but and re.search(but, x)):
+            continue
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], i + len(x))
+        else:
+            out.append((i, i + len(x)))
+    return out
+
+
+def brute_spans(text, whole):
+    base = [("assign", *m.span()) for m in re.finditer(secrets.ASSIGN, text) if len(m.group(2)) >= 8]
+    base += [("access", *m.span()) for m in re.finditer(secrets.ACCESS, text)] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    added = []
+    for c in secrets.CLASSES:
+        for m in re.finditer(c.pattern, text):
+            rules = [p for p in secrets.ALLOWED if p not in (secrets.PLACEHOLDER, secrets.LETTERS_ONLY)] + [secrets.WORDS_ONLY] if whole else secrets.ALLOWED
+            if not any(re.search(p, m.group()) for p in rules):
+                added += [(c.kind, m.start() + a, m.start() + b) for a, b in brute_windows(m.group(), c, secrets.PLACEHOLDER if whole else None)]
+    return base, added if whole else [x for x in added if not any(a < x[2] and b > x[1] for _, a, b in base)]
+
+
+def secret_texts():
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, signs=letters: "".join(rng.choice(signs) for _ in range(n))
+    parts = [
+        lambda: draw(rng.randrange(18, 90)), lambda: draw(40, "0123456789abcdef"), lambda: draw(30, "0123456789ABCDEF"), lambda: "AKIA" + draw(16, letters[:26]), lambda: "password = '" + draw(12) + "'",
+        lambda: "plain-words-in-a-slug", lambda: "your_example_key_" + draw(9), lambda: draw(26, letters[:52]), lambda: "HttpServletRequestWrapper", lambda: "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1B", lambda: "é中\U0001f600",
+        lambda: "xxxx" + draw(30) + "xxxx", lambda: draw(700), lambda: "word " * 5,
+    ]
+    return ["".join(rng.choice(parts)() + rng.choice(["", " ", "/", "=", "-", "\n"]) for _ in range(rng.randrange(8))) for _ in range(150)]
+
+
+def test_secrets_by_brute_force(spark):
+    texts = secret_texts()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranked = lambda spans: sorted((a, secrets.KINDS.index(k), b) for k, a, b in spans)
+    got = {r["doc_id"]: r for r in secrets.scan(d).collect()}
+    red = {r["doc_id"]: r["text"] for r in secrets.redacted(d).collect()}
+    for i, t in enumerate(texts):
+        base, added = brute_spans(t, False)
+        assert [(s["start"], s["rank"], s["end"]) for s in got[i]["base"]] == ranked(base), t
+        assert [(s["start"], s["rank"], s["end"]) for s in got[i]["spans"]] == ranked(base + added), t
+        base, added = brute_spans(t, True)
+        cover = []
+        for a, _, b in ranked(base + added):
+            if cover and a < cover[-1][1]:
+                cover[-1] = (cover[-1][0], max(b, cover[-1][1]))
+            else:
+                cover.append((a, b))
+        edges = [0, *(x for s in cover for x in s), len(t)]
+        assert red[i] == "[SECRET]".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), t
+
+
+def test_long_candidates(spark):
+    """A run of a million characters takes seconds, a slug of many words needs no stack, many secrets grow no long string step by step."""
+    rng = random.Random(12)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYabcdefghijklmnopqrstuvwyz0123456789") for _ in range(1_000_000))  # no x: no placeholder
+    many = " ".join("key " + blob[24 * i : 24 * i + 24] for i in range(20_000))
+    rows = [(1, f"see {blob} now"), (2, "-".join(["word"] * 50_000) + "1"), (3, many)]
+    began = time.time()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(d).select("doc_id", "spans").collect()}
+    assert sum(s["end"] - s["start"] for s in spans[1]) > 950_000 and not spans[2] and len(spans[3]) > 15_000
+    red = {r["doc_id"]: r["text"] for r in secrets.redacted(d).collect()}
+    assert len(red[1]) < 50_000 and red[2] == rows[1][1] and red[3].count("[SECRET]") > 15_000
+    assert time.time() - began < 90
+
+
 # 2 top k
 
 
+@pytest.mark.parametrize("folder", ["0.01", "0.1"])
+def test_topk_share_of_blocks(spark, folder):
+    """On the embeddings most blocks are not scored to the end, fewer yet from a known threshold, and the result is that of brute force."""
+    rows = topk.integers(table(spark, SMALL.replace("0.001", folder), "embeddings")).orderBy("vec_id").toPandas()
+    v, ids = np.array(rows["v"].tolist()), rows["vec_id"].to_numpy()
+    q = ids % 50 == 0
+    scores = v[q] @ v.T
+    scores[np.arange(q.sum()), np.flatnonzero(q)] = -(2**62)
+    best = np.array([np.lexsort((ids, -s))[:5] for s in scores])
+    place, score, scored = topk.search_group(v[q], ids[q], v, ids, 5)
+    pairs = q.sum() * -(-len(v) // topk.BLOCK)
+    assert np.array_equal(place, best) and np.array_equal(score, np.take_along_axis(scores, best, 1))
+    again = topk.search_group(v[q], ids[q], v, ids, 5, floor=score[:, -1])
+    assert np.array_equal(again[0], best) and again[2] <= scored
+    assert len(v) < 2000 or scored < 0.5 * pairs
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e30, -1e30]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [3e38, 3e38]), (50, [0.5, 0.25]), (4, [0.0, 0.0])]
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), 3).collect()}
+    top = 2**63 - 1
+    assert [got[0, n] for n in (1, 2, 3)] == [(1, top), (50, top), (3, 0)] and [got[50, n] for n in (1, 2, 3)] == [(0, top), (1, top), (3, top)]
+
+
 def test_topk_prunes_and_handles_odd_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = np.sort(rng.integers(-300, 300, (640, 6)), axis=0)
@@ -152,6 +253,19 @@ def test_decontamination_in_parts(spark, odd_docs, no_docs):
     assert decontam.decontaminate(no_docs, bench).count() == 0 and decontam.decontaminate(odd_docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_with_a_full_part(spark):
+    """4 MB of items: the tables take seconds to make, and the right occurrences are found with them."""
+    rng = random.Random(14)
+    items = [" ".join(f"b{rng.randrange(5000)}" for _ in range(100)) for _ in range(7000)]
+    began = time.time()
+    tables = decontam.shift_tables([t.encode() for t in items], 10)
+    assert time.time() - began < 30 and sum(map(len, items)) > 4_000_000 - 600_000 and len(tables) == 1
+    began = time.time()
+    texts = [" ".join([*(f"b{rng.randrange(5000)}" for _ in range(50)), *(items[k].split()[20:35] if k % 2 else []), *(f"b{rng.randrange(5000)}" for _ in range(50))]) for k in range(400)]
+    found = {(d, a, b) for d, a, b, _ in tables[0].search(_hashing.words([t.encode() for t in texts], _hashing.ALNUM))}
+    assert {(k, 50 + i, 60 + i) for k in range(1, 400, 2) for i in range(6)} == found and time.time() - began < 5
+
+
 # 4 language model
 
 
@@ -183,6 +297,38 @@ def test_lm_scores_by_brute_force(spark, odd_docs, no_docs):
     assert lm.score(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_of_higher_order_by_brute_force(spark, odd_docs, order):
+    """Each token by the recursive formula over its context of up to order - 1 words; each state sums to one."""
+    docs = documents(spark)[:120] + [(r["doc_id"], r["text"]) for r in odd_docs.collect()] + [(500 + i, "a b c a b c d a b " * i) for i in range(4)]
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), None] for _, t in docs]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]
+    counts = Counter()
+    for t, h in zip(tokens, held, strict=True):
+        if not h:
+            counts.update(tuple(t[i : i + n]) for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    states = {g for g, c in counts.items() if len(g) < order and c >= (1 if len(g) == 1 else 2)}
+
+    def p(context, w):
+        if not context:
+            return (counts[w,] + 1) / (n + v + 1)
+        if context not in states:
+            return p(context[1:], w)
+        return (counts[*context, w] + lm.PRIOR * p(context[1:], w)) / (counts[context] + lm.PRIOR)
+
+    whole = lambda t: sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), w)) for i, w in enumerate(t))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (lm.BLOCK_BYTES, 20_000):
+        got = lm.score(d, block_bytes=block, range_bytes=block, order=order).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got) == sorted((str(i), len(t), round(whole(t), 6)) for (i, _), t in zip(docs, tokens, strict=True))
+    lower = {(str(r["doc_id"]), r["n_tokens"]): r["score"] for r in lm.score(d).collect()}
+    assert sum(r["score"] > lower[str(r["doc_id"]), r["n_tokens"]] for r in got if not r["held_out"]) > len(docs) / 2
+    vocabulary = [g[0] for g in counts if len(g) == 1] + ["\x00other"]
+    for context in sorted(states, key=str)[:: max(1, len(states) // 20)]:
+        assert math.isclose(sum(p(context, w) for w in vocabulary), 1.0)
+
+
 def test_bigrams_sum_to_one():
     """Over the known tokens and one that stands for all others, each state's probabilities sum to 1."""
     uni = np.array([10, 20, 30, 40], np.uint64)
@@ -428,6 +574,111 @@ def test_language_on_held_out_rows(spark, odd_docs, no_docs):
     assert langid.accept(unlabelled).count() == odd_docs.filter("text rlike '[a-z]'").count() and langid.accept(no_docs).count() == 0
 
 
+def test_statistics_by_brute_force(spark, odd_docs):
+    texts = [t for _, t in documents(spark)[:80]] + [r["text"] for r in odd_docs.collect()] + ["A\n\n A \nb\tAB CD!", "SHOUT x", "|||"]
+    got = quality.statistics([None if t is None else t.encode() for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        raw = (t or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        share = lambda chars: sum(c in chars for c in raw) / max(1, len(raw))
+        of_words = lambda n: n / max(1, len(w))
+        times = Counter(w)
+        shouted = [x for x in w if 65 <= x[0] <= 90 and len(x) > 1 and not 97 <= x[-1] <= 122]
+        expected = {
+            "n_bytes": len(raw), "n_words": len(w), "mean_word": of_words(sum(map(len, w))), "upper": share(range(65, 91)), "digit": share(range(48, 58)),
+            "punct": share([c for c in range(33, 127) if not chr(c).isalnum()]), "space": share([32, *range(9, 14)]), "high": share(range(128, 256)), "exclaim": share(b"!"), "pipe": share(b"|"),
+            "symbol": share(b"#$%&*@^~<>{}[]=+_\\"), "period": share(b".,;:?"), "distinct_words": of_words(len(times)), "top_word": of_words(max(times.values(), default=0)), "n_lines": len(lines),
+            "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)), "mean_line": sum(map(len, lines)) / max(1, len(lines)), "long_words": of_words(sum(len(x) > 15 for x in w)), "upper_words": of_words(len(shouted)),
+        }
+        assert np.allclose(row, [expected[n] for n in quality.STATISTICS]), t
+
+
+def test_first_rule_by_brute_force():
+    """The first split of the first tree is the best of all splits; its sides are the first two rules."""
+    rng = np.random.default_rng(8)
+    x = rng.random((200, 5)).round(2)
+    y = ((x[:, 2] > 0.4) ^ (rng.random(200) < 0.1)).astype(float)
+    gains = {}
+    for k in range(5):
+        for cut in np.unique(np.quantile(x[:, k], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            low = x[:, k] <= cut
+            if 5 <= low.sum() <= 195:
+                part = lambda m: (y - 0.5)[m].sum() ** 2 / (0.25 * m.sum() + 1)
+                gains[k, float(cut)] = part(low) + part(~low) - part(np.ones(200, bool))
+    k, cut = max(gains, key=gains.get)
+    rules = quality.tree_rules(x, y)
+    assert rules[:2] == [((k, False, cut),), ((k, True, cut),)] and k == 2
+    assert all(1 <= len(r) <= quality.DEPTH for r in rules) and len(set(rules)) == len(rules)
+
+
+def test_lasso_is_optimal():
+    """The weights meet the conditions of the minimum: the gradient is the penalty where a weight is not zero, and no larger elsewhere."""
+    rng = np.random.default_rng(9)
+    a = rng.random((400, 30))
+    y = (a[:, 0] + 0.5 * a[:, 1] + 0.2 * rng.standard_normal(400) > 0.75).astype(float)
+    w, b = quality.lasso(a, y, penalty=0.01, steps=5000)
+    gradient = a.T @ (1 / (1 + np.exp(-(a @ w + b))) - y) / 400
+    assert np.allclose(gradient[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-4) and np.all(np.abs(gradient[w == 0]) <= 0.01 + 1e-4)
+    assert 0 < (w != 0).sum() < 15 and w[0] > 0 and w[1] > 0
+    near, _ = quality.lasso(a, y, penalty=0.01)
+    assert np.abs(near - w).max() < 0.5
+
+
+def plain_buckets(text):
+    """The n-grams of a text by order, each hashed by itself."""
+    signs = [ord(c) if ord(c) >= 128 or c.isalpha() else 32 for c in text.lower()]
+    out, edge = Counter(), len(langid._EDGE)
+    signs += [32] * 2 * edge  # what lies behind the last start
+    for order in langid.ORDERS:
+        for i in range(-edge, len(signs) - 2 * edge):
+            h = order
+            for k in range(order):
+                h = ((h ^ (signs[i + k] if i + k >= 0 else 32)) * int(langid._MULTIPLIERS[k])) & 0xFFFFFFFF
+                h ^= h >> 15
+            out[((h * 0x27D4EB2F) & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    return out
+
+
+@pytest.mark.parametrize("group", [128, 1])
+def test_language_by_brute_force(spark, odd_docs, group):
+    """A plain naive Bayes over the same buckets; with groups of one language each takes a pass of its own."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for d in (table(spark, SMALL, "documents").limit(90), odd_docs.drop("score").filter("length(text) < 5000 OR text IS NULL")) for r in d.collect()]
+    rows += [(1000 + i, "tous les jours " * i, "fr") for i in range(1, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1 for i, _, _ in rows]
+    counts, n_rows = {}, Counter()
+    for (_, t, lang), h in zip(rows, held, strict=True):
+        if t is not None and lang is not None and not h:
+            counts.setdefault(lang, Counter()).update(plain_buckets(t))
+            n_rows[lang] += 1
+    expected = []
+    for (i, t, _), h in zip(rows, held, strict=True):
+        best, score = "und", 0.0
+        if t and any(map(str.isalpha, t)):
+            logs = {}
+            for lang, c in sorted(counts.items()):
+                total = sum(c.values()) + (1 << langid.BITS)
+                logs[lang] = math.log(n_rows[lang] / sum(n_rows.values())) + sum(n * math.log((c[b] + 1) / total) for b, n in plain_buckets(t).items())
+            best = max(logs, key=logs.get)
+            score = 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+        expected.append((str(i), h, best, round(score, 6)))
+    got = langid.identify(d, group=group).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in got) == sorted(expected)
+
+
+def test_language_rejects_what_fits_none(spark):
+    """Random letters, encoded blobs and a language never learnt go; clean texts, short ones too, stay."""
+    rng = random.Random(10)
+    draw = lambda n, signs="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(signs) for _ in range(n))
+    junk = [draw(300), " ".join(draw(6) for _ in range(60)), draw(500, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), "Съешь ещё этих мягких французских булок да выпей чаю и потом иди домой"]
+    docs = table(spark, SMALL.replace("0.001", "0.01"), "documents").select("doc_id", "text", "lang")
+    both = docs.union(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk)] + [(10**7, "one", None)], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in langid.accept(both).collect()}
+    assert not kept & set(range(10**6, 10**6 + 4)) and 10**7 in kept
+    assert {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))} <= kept
+
+
 # 9 chat
 
 
