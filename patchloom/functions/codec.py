@@ -8,15 +8,20 @@ A packed integer has a first byte of continuation bit, sign bit and 6 bits, then
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: One sign for each byte, with its number.
+BYTES = "ISO-8859-1"
+
+
 def little(value: Column, size: int) -> Column:
     """The low bytes of a number, the lowest first."""
-    digits = F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit((1 << 8 * size) - 1))), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))))
+    v = value.cast("long")
+    return F.encode(F.concat(*(F.char(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))) for k in range(size))), BYTES)
 
 
 def packed_size(value: Column) -> Column:
@@ -43,9 +48,8 @@ def packed(value: Column) -> Column:
 
 def number(raw: Column, at: int, size: int) -> Column:
     """A little-endian unsigned number; 0 where bytes are missing."""
-    digits = F.hex(F.substring(raw, at + 1, size))
-    turned = digits if size == 1 else F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
-    return F.coalesce(F.conv(F.nullif(turned, F.lit("")), 16, 10).cast("long"), F.lit(0))
+    signs = F.decode(F.substring(raw, at + 1, size), BYTES)
+    return reduce(Column.__add__, (F.shiftleft(F.ascii(F.substring(signs, k + 1, 1)).cast("long"), 8 * k) for k in range(size)))
 
 
 def unpacked(raw: Column) -> Column:

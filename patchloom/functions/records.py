@@ -130,7 +130,7 @@ def fields_of(raw: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
         def read(part: Column) -> Column:
             one = F.struct(number(F.substring(raw, acc["at"] + 1, F.lit(1)), 0, 1).cast("int").alias("id"), part["value"].alias("value"))
-            return F.struct(part["at"].alias("at"), F.concat(acc["found"], F.array(one)).alias("found")).cast(state)
+            return F.struct(part["at"].alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
         # Past the end, or once broken, nothing moves.
         return F.when(acc["at"].isNull() | (acc["at"] >= total), acc).otherwise(let(_bytes_at(raw, acc["at"] + 1), read))
@@ -179,7 +179,7 @@ def _list_at(raw: Column, at: Column, kind: T.DataType, least: int) -> Column:
         return let(decode_at(raw, here, k), both)
 
     def step(acc: Column, _: Column) -> Column:
-        grown = lambda e: F.struct(e["at"].alias("at"), F.concat(acc["found"], F.array(e["value"])).alias("found")).cast(state)
+        grown = lambda e: F.struct(e["at"].alias("at"), F.concat(acc["found"], F.array(e["value"])).alias("found"))
         return F.when(acc["at"].isNull(), acc).otherwise(let(entry(acc["at"]), grown))
 
     def entries(n: Column) -> Column:

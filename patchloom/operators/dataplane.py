@@ -69,13 +69,39 @@ def complete_sets(blocks: DataFrame, keys: Sequence[str], first: str = "first_in
 
 
 def gated(frames: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, recovers: Column) -> DataFrame:
-    """Adds ``accepted``: after a failure a stream takes nothing until a row that recovers it."""
+    """Adds ``accepted``: after a row that failed (for lack of room) a stream takes nothing until a row that recovers it.
+
+    A row that would recover but fails itself is refused too, and another one is asked for. Where
+    a discontinuity must be marked, it is part of ``recovers``.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     n = frames.withColumn("_n", F.row_number().over(w))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    lost = F.coalesce(F.max(F.when(failed & ~recovers, F.col("_n"))).over(before), F.lit(0))
-    found = F.coalesce(F.max(F.when(recovers, F.col("_n"))).over(before), F.lit(0))
-    return n.withColumn("accepted", recovers | ((lost <= found) & ~failed)).drop("_n")
+    lost = F.coalesce(F.max(F.when(failed, F.col("_n"))).over(before), F.lit(0))
+    found = F.coalesce(F.max(F.when(recovers & ~failed, F.col("_n"))).over(before), F.lit(0))
+    return n.withColumn("accepted", ~failed & (recovers | (lost <= found))).drop("_n")
+
+
+def published_sets(
+    envelopes: DataFrame, stream: Sequence[str], generation: str = "generation", sequence: str = "sequence", frame: str = "frame_id", first: str = "first_index", count: str = "item_count", total: str = "total_item_count"
+) -> DataFrame:
+    """stream, generation, epoch, frame with ``sequence`` of the first commit, covered, total and published, for each committed frame.
+
+    Blocks are provisional until a commit finds all items there. A new generation, and a row flagged
+    as a discontinuity, discard what came before in their stream: rows of an older generation than
+    one seen before are stale, and blocks before a discontinuity do not count after it.
+    """
+    w = Window.partitionBy(*stream).orderBy(sequence).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = envelopes.withColumn("_newest", F.max(generation).over(w)).filter(F.col(generation) == F.col("_newest")).drop("_newest")
+    of = Window.partitionBy(*stream, generation).orderBy(sequence).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = fresh.withColumn("epoch", F.sum(has(DISCONTINUITY).cast("long")).over(of))
+    keys = [*stream, generation, "epoch", frame]
+    commits = rows.filter((F.col("payload_type") == BLOCK_SET) & has(COMMIT)).groupBy(*keys).agg(F.min_by(F.struct(sequence, total), sequence).alias("_c"))
+    commits = commits.select(*keys, F.col("_c")[sequence].alias("_at"), F.col("_c")[total].alias("_total"))
+    blocks = rows.filter((F.col("payload_type") == BLOCK_SET) & ~has(COMMIT)).join(commits, keys).filter(F.col(sequence) < F.col("_at"))
+    done = complete_sets(blocks, keys, first, count, "_total").select(*keys, "covered")
+    out = commits.join(done, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+    return out.select(*keys, F.col("_at").alias(sequence), "covered", F.col("_total").cast("long").alias("total"), (F.col("covered") == F.col("_total")).alias("published"))
 
 
 def drain_order(queues: DataFrame, uplink: Sequence[str], stream: str = "stream", unit: str = "unit", size: str = "size", weight: str = "weight", quantum: int = 16 << 10) -> DataFrame:

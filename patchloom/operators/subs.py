@@ -69,6 +69,8 @@ def routing(spark: SparkSession) -> DataFrame:
 def policy_allows(rows: DataFrame, include: DataFrame, exclude: DataFrame, on: str) -> DataFrame:
     """Rows of an included store, if any is named, and of no excluded one."""
     named = include.select(on).distinct()
-    anyone = named.agg((F.count(F.lit(1)) == 0).alias("_any"))
-    kept = rows.join(F.broadcast(anyone)).join(named.withColumn("_in", F.lit(True)), on, "left")
-    return kept.filter(F.col("_any") | F.col("_in")).drop("_any", "_in").join(exclude.select(on).distinct(), on, "left_anti")
+    if named.isEmpty():
+        kept = rows
+    else:
+        kept = rows.join(named, on, "left_semi")
+    return kept.join(exclude.select(on).distinct(), on, "left_anti")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codec, records
+from ..functions import envelopes as wire_envelopes
 from ..functions import packets as wire
 from ..functions.schema import check_schema_compat
-from ..operators import dataplane, delivery, rpc, subs
+from ..operators import dataplane, delivery, fold, rpc, subs
+from ..sources.tables import spread
 from .catalogue import query
 from .routes import ORDER, PATHS, WANTED, changed_paths, counts, lifecycle, wanted_paths
-from .state import events
+from .state import LOG, event_log, events
 
 HOUR = 3_600_000_000
 
@@ -44,6 +46,49 @@ def full_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.when(F.bool_and(F.col("value") >= 1), "keyed").otherwise("full").alias("mode"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "q_vwr_3_viewer_fallback",
+    f"""WITH {LOG},
+x AS (SELECT *, max(CASE WHEN op IN ('whole', 'delete') THEN seq ELSE 0 END) OVER (PARTITION BY ent) AS mask FROM ops),
+alive AS (SELECT DISTINCT ent, leaf FROM x WHERE op = 'leaf' AND seq > mask),
+wanted AS (SELECT DISTINCT user_id % 40 AS viewer, user_id AS ent, event_type AS leaf FROM events WHERE event_type IN ('view', 'purchase') AND event_id % 9 = user_id % 9)
+SELECT viewer, count(*) AS n_keys, CASE WHEN count(alive.ent) = count(*) THEN 'keyed' ELSE 'full' END AS mode FROM wanted LEFT JOIN alive ON alive.ent = wanted.ent AND alive.leaf = wanted.leaf GROUP BY viewer""",
+)
+def viewer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key of a viewer that cannot be built gives that viewer the full state."""
+    wants = F.col("event_type").isin("view", "purchase") & (F.col("event_id") % 9 == F.col("user_id") % 9)
+    wanted = events(spark, sf_dir).filter(wants).select((F.col("user_id") % 40).alias("viewer"), F.col("user_id").alias("ent"), F.col("event_type").alias("leaf"))
+    return delivery.snapshot_modes(wanted, fold.current_state(event_log(spark, sf_dir), ["ent"]), ["viewer"], ["ent", "leaf"])
+
+
+_KIND = "CASE event_type WHEN 'signup' THEN 'subscribe' WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'baseline' ELSE 'live' END"
+
+
+@query(
+    "q_cat_2_bounded",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, n, event_id, CASE kind WHEN 'subscribe' THEN 1 ELSE 0 END AS waiting, CAST([] AS BIGINT[]) AS held, false AS dead,
+    CASE WHEN kind IN ('live', 'baseline') THEN [event_id] ELSE CAST([] AS BIGINT[]) END AS sent, false AS over FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.event_id,
+    CASE e.kind WHEN 'subscribe' THEN waiting + 1 WHEN 'live' THEN waiting ELSE greatest(0, waiting - 1) END,
+    CASE WHEN e.kind = 'live' AND waiting > 0 THEN list_append(held, e.event_id) WHEN e.kind IN ('baseline', 'cancel') AND waiting <= 1 THEN CAST([] AS BIGINT[]) ELSE held END,
+    dead OR over,
+    CASE WHEN dead OR over THEN CAST([] AS BIGINT[]) WHEN e.kind = 'baseline' THEN CASE WHEN waiting = 1 THEN list_concat([e.event_id], held) ELSE [e.event_id] END
+      WHEN e.kind = 'live' AND (waiting = 0 OR len(held) >= 3) THEN [e.event_id] ELSE CAST([] AS BIGINT[]) END,
+    e.kind = 'live' AND waiting > 0 AND len(held) >= 3
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1),
+s AS (SELECT user_id, n, over AND NOT dead AS over, unnest(sent) AS event_id, generate_subscripts(sent, 1) AS i FROM r)
+SELECT user_id, event_id, over AS overflow, row_number() OVER (PARTITION BY user_id ORDER BY n, i) AS position FROM s""",
+)
+def catch_up_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows wait for baselines, three at most; a cancelled wait drops them."""
+    kind = F.when(F.col("event_type") == "signup", "subscribe").when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "purchase", "baseline").otherwise("live")
+    rows = events(spark, sf_dir).select("user_id", "event_id", "ts", kind.alias("kind"))
+    return delivery.catch_up(rows, ["user_id"], ORDER, most=3).select("user_id", "event_id", "overflow", "position")
+
+
 @query(
     "q_cat_1_catch_up",
     "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END, ts, event_id) AS position FROM events",
@@ -118,6 +163,63 @@ def session_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.episodes(rows, ["user_id"], "at", ["event_id"], 12 * HOUR).groupBy("user_id", "episode").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("low"))
 
 
+@query(
+    "q_ses_5_manifest",
+    """WITH a AS (SELECT DISTINCT user_id, event_type, event_id % 3 AS k FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type, event_id % 3 AS k FROM events WHERE event_id % 2 = 1)
+SELECT *, 'start' AS action FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'stop' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
+)
+def manifest_by_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two manifests, of the even events and of the odd ones."""
+    keys = ["user_id", "event_type", "k"]
+    rows = events(spark, sf_dir).withColumn("k", F.col("event_id") % 3)
+    return delivery.manifest_changes(rows.filter("event_id % 2 = 0").select(*keys), rows.filter("event_id % 2 = 1").select(*keys), keys)
+
+
+@query(
+    "q_ses_6_detached_bytes",
+    """WITH s AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM events),
+b AS (SELECT *, sum(octet_length(encode(props))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bytes FROM s WHERE coalesce(later, 0) = 0)
+SELECT user_id, count(*) FILTER (bytes <= 200) AS held, max(bytes) > 200 AS overflow FROM b GROUP BY user_id""",
+)
+def detached_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detached session holds what follows its last full state, up to a bound of bytes."""
+    rows = delivery.since_full(events(spark, sf_dir), ["user_id"], ORDER, F.col("event_type") == "signup")
+    rows = delivery.admitted(rows, ["user_id"], ORDER, F.octet_length("props"), 1 << 30, 200)
+    return rows.groupBy("user_id").agg(F.count_if("admitted").alias("held"), F.bool_or("overflow").alias("overflow"))
+
+
+@query(
+    "q_ses_7_lifecycle",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type IN ('signup', 'view') AS attach, event_id % 4 AS late, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+    sum(CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
+r AS (
+  SELECT user_id, k, t, n, attach, CASE WHEN attach THEN 'on' ELSE 'none' END AS state, t AS since, attach AS created, false AS was_closed, CAST(NULL AS BIGINT) AS closed_at, CAST(NULL AS BIGINT) AS closed_n, false AS detached FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.k, e.t, e.n, e.attach,
+    CASE WHEN e.attach THEN 'on' WHEN state = 'on' AND e.late <> 0 AND e.n > 0 THEN 'off' ELSE state END,
+    CASE WHEN e.attach OR (state = 'on' AND e.late <> 0) THEN e.t ELSE since END,
+    e.attach AND (state = 'none' OR state = 'off' AND e.t - since >= 43200000000),
+    e.attach AND state = 'off' AND e.t - since >= 43200000000,
+    CASE WHEN e.attach AND state = 'off' AND e.t - since >= 43200000000 THEN since + 43200000000 END,
+    r.n,
+    NOT e.attach AND state = 'on' AND e.late <> 0
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1),
+last AS (SELECT user_id, arg_max(state, k) AS state, arg_max(since, k) AS since, arg_max(n, k) AS n FROM r GROUP BY user_id)
+SELECT user_id, CAST(n AS BIGINT) AS n, t AS "at", 'created' AS change, '' AS reason FROM r WHERE created
+UNION ALL SELECT user_id, CAST(n AS BIGINT), t, 'attached', '' FROM r WHERE attach
+UNION ALL SELECT user_id, CAST(n AS BIGINT), t, 'detached', '' FROM r WHERE detached
+UNION ALL SELECT user_id, CAST(closed_n AS BIGINT), closed_at, 'closed', 'expired' FROM r WHERE was_closed
+UNION ALL SELECT user_id, CAST(n AS BIGINT), since + 43200000000, 'closed', 'expired' FROM last WHERE state = 'off'""",
+)
+def lifecycle_of_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups and views attach, the others detach, every fourth of them with a stale generation."""
+    w = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    attach = F.col("event_type").isin("signup", "view")
+    rows = events(spark, sf_dir).withColumn("g", F.sum(attach.cast("long")).over(w))
+    rows = rows.select("user_id", "event_id", micros().alias("at"), F.when(attach, "attach").otherwise("detach").alias("kind"), F.when(F.col("event_id") % 4 == 0, F.col("g") - 1).otherwise(F.col("g")).alias("generation"))
+    return delivery.session_lifecycle(rows, ["user_id"], "at", ["event_id"], 12 * HOUR)
+
+
 @query(
     "q_ond_1_generations",
     f"""WITH {counts('user_id')}, g AS (SELECT *, sum(CASE WHEN before = 0 AND n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS generation FROM b)
@@ -147,12 +249,12 @@ def still_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter("count > 0 AND sent_n > 0 AND sent_in = generation").select("user_id", "event_id")
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def envelopes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Order lines as envelopes, some of them broken."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     return line.select(
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", *more,
         F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("order-"), k.cast("string"))).alias("stream_id"),
         (k % 13).alias("generation"), (n % 7).cast("long").alias("sequence"), F.lit(1).cast("long").alias("frame_id"),
         F.when(k % 3 == 0, 1).when(k % 17 == 0, 9).otherwise(2).alias("payload_type"), ((k + n) % 9).cast("int").alias("flags"), F.col("l_returnflag").alias("format"),
@@ -188,6 +290,70 @@ def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", dataplane.stream_id("stream:", F.col("c_name"), F.col("c_mktsegment")).alias("stream_id"))
 
 
+MAGIC = b"ENV1"
+_KEYED = ENVELOPES.replace(" FROM lineitem)", ", l_partkey FROM lineitem)")
+
+
+@query(
+    "q_env_4_bytes",
+    f"""WITH {_KEYED}, w AS (SELECT *, l_partkey % 7 AS damage FROM v),
+e AS (SELECT *, CASE WHEN sid = '' OR gen = 0 OR seq = 0 OR fl > 7 OR (pt = 1 AND ((fl & 4) <> 0 OR pl = '')) OR (pt = 2 AND ((fl & 1) <> 0 OR (fl & 4) <> 0 OR fi + ic > tc OR pl = '')) OR pt = 9 THEN 'not written'
+  WHEN damage = 1 THEN 'truncated' WHEN damage = 2 THEN 'length differs' WHEN damage = 3 THEN 'unknown format' WHEN damage = 4 THEN 'reserved bits' END AS error FROM w)
+SELECT l_orderkey, l_linenumber, error, CASE WHEN error IS NULL THEN sid END AS stream_id, CASE WHEN error IS NULL THEN gen END AS generation, CASE WHEN error IS NULL THEN l_orderkey * -1000 END AS ts_nanos,
+  CASE WHEN error IS NULL THEN fi END AS first_index, CASE WHEN error IS NULL THEN fl END AS flags, CASE WHEN error IS NULL THEN pl END AS payload,
+  CASE WHEN error IS DISTINCT FROM 'not written' THEN CAST(60 + length(sid) + length(fm) + length(pl) AS INTEGER) END AS size FROM e""",
+)
+def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes written and read again: of seven, one cut short, one with a byte too many, one of another format, one with reserved bits set."""
+    rows = envelopes(spark, sf_dir, "l_partkey").withColumn("ts_nanos", F.col("l_orderkey") * -1000)
+    raw, damage = F.col("raw"), F.col("l_partkey") % 7
+    damaged = (
+        F.when(damage == 1, F.substring(raw, 1, 59)).when(damage == 2, F.concat(raw, F.lit(b"x"))).when(damage == 3, F.concat(F.lit(b"OLD0"), F.substring(raw, F.lit(5), F.octet_length(raw))))
+        .when(damage == 4, F.concat(F.substring(raw, 1, 6), F.lit(b"\x01\x00"), F.substring(raw, F.lit(9), F.octet_length(raw)))).otherwise(raw)
+    )
+    sent = rows.select("l_orderkey", "l_linenumber", "l_partkey", wire_envelopes.encode(MAGIC).alias("raw"))
+    sent = sent.select("l_orderkey", "l_linenumber", F.octet_length("raw").alias("size"), damaged.alias("raw"))
+    got = wire_envelopes.decoded(sent, "raw", MAGIC)
+    error = F.when(F.col("raw").isNull(), "not written").otherwise(F.col("error"))
+    kept = lambda c: F.when(F.col("raw").isNotNull(), F.col(c))
+    return got.select(
+        "l_orderkey", "l_linenumber", error.alias("error"), *(kept(c).alias(c) for c in ("stream_id", "generation", "ts_nanos", "first_index", "flags")), kept("payload").cast("string").alias("payload"), "size"
+    )
+
+
+@query(
+    "q_env_5_identity",
+    """WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS store, CASE WHEN c_custkey % 5 = 0 THEN repeat(c_mktsegment, 40) ELSE c_mktsegment END AS stream, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'k' END AS k FROM customer)
+SELECT c_custkey, CASE WHEN trim(store) = '' THEN 'no store name' WHEN k = '' THEN 'no key' WHEN length(stream) > 256 THEN 'stream name too long' END AS error, CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 4) * 1000 END AS expires_ms FROM s""",
+)
+def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of streams, some of them incomplete or too long, and when their endpoints expire."""
+    k, c = F.col("c_custkey"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    store, stream = F.when(k % 7 == 0, " ").otherwise(F.col("c_name")), F.when(k % 5 == 0, F.repeat("c_mktsegment", 40)).otherwise(F.col("c_mktsegment"))
+    error = wire_envelopes.subscription_error(store, stream, F.when(k % 3 == 0, "").otherwise("k"))
+    return c.select("c_custkey", error.alias("error"), F.unix_millis(wire_envelopes.expires_at(k % 4 * 1000)).alias("expires_ms"))
+
+
+@query(
+    "q_blk_2_published",
+    """WITH e AS (SELECT user_id % 20 AS stream, event_id AS seq, event_id // 400 - CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS gen, event_id // 40 AS frame, event_id % 89 = 0 AS breaks, event_type = 'purchase' AS commits, user_id % 3 AS fi FROM events),
+f AS (SELECT * FROM (SELECT *, max(gen) OVER (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING) AS newest FROM e) WHERE gen = newest),
+p AS (SELECT *, sum(CASE WHEN breaks THEN 1 ELSE 0 END) OVER (PARTITION BY stream, gen ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch FROM f),
+c AS (SELECT stream, gen, epoch, frame, min(seq) AS seq FROM p WHERE commits GROUP BY ALL)
+SELECT c.stream, c.gen AS generation, CAST(c.epoch AS BIGINT) AS epoch, c.frame AS frame_id, c.seq AS sequence, count(DISTINCT p.fi) AS covered, CAST(3 AS BIGINT) AS total, count(DISTINCT p.fi) = 3 AS published
+FROM c LEFT JOIN p ON p.stream = c.stream AND p.gen = c.gen AND p.epoch = c.epoch AND p.frame = c.frame AND NOT p.commits AND p.seq < c.seq GROUP BY ALL""",
+)
+def published_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as blocks of three items a frame, purchases commit; some rows are of an old generation, some mark a discontinuity."""
+    n = F.col("event_id")
+    flags = F.when(F.col("event_type") == "purchase", dataplane.COMMIT).otherwise(0) + F.when(n % 89 == 0, dataplane.DISCONTINUITY).otherwise(0)
+    rows = events(spark, sf_dir).select(
+        (F.col("user_id") % 20).alias("stream"), n.alias("sequence"), (F.floor(n / 400) - F.when(n % 97 == 0, 1).otherwise(0)).alias("generation"), F.floor(n / 40).alias("frame_id"),
+        F.lit(dataplane.BLOCK_SET).alias("payload_type"), flags.alias("flags"), (F.col("user_id") % 3).alias("first_index"), F.lit(1).alias("item_count"), F.lit(3).alias("total_item_count"),
+    )
+    return dataplane.published_sets(rows, ["stream"])
+
+
 @query(
     "q_blk_1_complete",
     """SELECT l_orderkey, CAST(count(DISTINCT l_linenumber) AS BIGINT) AS covered, CAST(max(l_linenumber) AS BIGINT) AS total, count(DISTINCT l_linenumber) = max(l_linenumber) AS complete FROM lineitem GROUP BY l_orderkey""",
@@ -211,6 +377,21 @@ def recovery_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataplane.gated(events(spark, sf_dir), ["user_id"], ORDER, kind == "error", kind == "signup").filter("accepted").select("user_id", "event_id")
 
 
+@query(
+    "q_sch_3_full_queue",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type IN ('signup', 'view') AS recovers, event_id % 2 = 0 AS marked, event_id % 5 = 0 AS no_room, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (
+  SELECT user_id, event_id, k, no_room AS needs, NOT no_room AS taken FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.k, CASE WHEN needs AND NOT (recovers AND marked) THEN true ELSE no_room END, NOT no_room AND (NOT needs OR (recovers AND marked)) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id FROM r WHERE taken""",
+)
+def full_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a frame that found no room, only a recovery frame that marks a discontinuity and fits itself goes on."""
+    resumes = F.col("event_type").isin("signup", "view") & (F.col("event_id") % 2 == 0)
+    return dataplane.gated(events(spark, sf_dir), ["user_id"], ORDER, F.col("event_id") % 5 == 0, resumes).filter("accepted").select("user_id", "event_id")
+
+
 @query(
     "q_sch_2_drain_order",
     """WITH u AS (SELECT l_orderkey % 50 AS uplink, l_suppkey % 5 AS stream, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS unit, CAST(floor(l_quantity * 1000) AS BIGINT) AS size, l_suppkey % 5 + 1 AS weight FROM lineitem),
@@ -281,7 +462,7 @@ def record_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map("event_type", "user_id").alias("tags"),
         F.when(F.col("event_id") % 2 == 1, F.col("event_id") % 4 - 1).alias("maybe"),
     )
-    raw = events(spark, sf_dir).select(records.record(value, NOTE).alias("raw"))
+    raw = spread(events(spark, sf_dir)).select(records.record(value, NOTE).alias("raw"))
     p = raw.select(records.decode(F.col("raw"), NOTE).alias("p")).select("p.value.*", "p.error")
     return p.select(
         "id", "name", F.unix_millis("at").alias("at_ms"), F.get("pair", F.lit(0)).alias("first"), F.get("pair", F.lit(1)).alias("second"),
@@ -321,7 +502,7 @@ def packet_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metadata": F.create_map(F.lit("note"), F.col("event_type"), F.lit("at"), F.lit("")),
     }
     raw, damage = F.col("raw"), F.col("event_id") % 5
-    rows = events(spark, sf_dir).select("event_id", wire.encode_any(kind, fields).alias("raw"))
+    rows = spread(events(spark, sf_dir)).select("event_id", wire.encode_any(kind, fields).alias("raw"))
     damaged = F.when(damage == 1, F.concat(raw, F.lit(b"\x00"))).when(damage == 2, F.substring(raw, F.lit(1), F.octet_length(raw) - 1)).otherwise(raw)
     p = rows.select("event_id", wire.decode(damaged).alias("p"))
     return p.select(

@@ -10,6 +10,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where a small source has fewer splits than there are; for plans that compute much for each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_log_stream(spark: SparkSession, folder: str, schema: StructType, files_at_once: int = 64) -> DataFrame:
     """New files of a change log as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
