@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATOR = "%&"
 
@@ -53,3 +54,23 @@ def typed_key(part: Column, kind: str) -> Column:
         return part.try_cast(kind)
     number = part.try_cast("decimal(38,0)")
     return F.when((number >= 0) & (number < F.lit(str(1 << int(kind[4:]))).cast("decimal(38,0)")), number)
+
+
+def canonical_path(path: Column, kind: T.DataType, at: int = 0) -> Column:
+    """The path as a schema spells it: field names as clients write them, map keys and indexes as they are.
+
+    Paths that name one value in several ways become equal, so that they share one subscription.
+    From a part on that the schema does not know, the rest stays as it is.
+    """
+    rest, part, size = F.slice(path, F.lit(at + 1), F.greatest(F.size(path), F.lit(1))), F.get(path, F.lit(at)), F.size(path)
+    if isinstance(kind, T.StructType):
+        out = rest
+        for f in reversed(kind.fields):
+            name = f.name if "_" in f.name else f.name[:1].lower() + f.name[1:]
+            out = F.when(client_name(part) == name, F.concat(F.array(F.lit(name)), canonical_path(path, f.dataType, at + 1))).otherwise(out)
+    elif isinstance(kind, (T.MapType, T.ArrayType)):
+        inner = kind.valueType if isinstance(kind, T.MapType) else kind.elementType
+        out = F.concat(F.array(part), canonical_path(path, inner, at + 1))
+    else:
+        return rest
+    return F.when(size > at, out).otherwise(rest)

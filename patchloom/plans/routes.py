@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import paths as names
 from ..functions.paths import path_key
 from ..operators import paths, subs
 from .catalogue import query
@@ -63,6 +65,47 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.filter_to(changed_paths(spark, sf_dir), wanted_paths(spark, sf_dir), ["viewer"]).select("event_id", "viewer")
 
 
+@query(
+    "q_key_1_keys",
+    """SELECT event_id, event_type || '%&' || user_id || '%&Number' AS key, upper(event_type[1]) || event_type[2:] AS server_name, 3 AS parts, CASE WHEN user_id < 256 THEN CAST(user_id AS BIGINT) END AS as_uint8,
+CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 3 - 1 AS INTEGER) END AS idx, CASE WHEN event_type = 'view' THEN user_id || '%&Number' END AS below_view FROM events""",
+)
+def subscription_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of paths and back: names for servers, typed map keys, indexes, what follows a field."""
+    path = F.array(F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", F.lit(2), F.length("event_type"))), F.col("user_id").cast("string"), F.lit("Number"))
+    rows = events(spark, sf_dir).withColumn("path", path).withColumn("key", path_key(F.col("path")))
+    server = names.server_path(F.col("key"))
+    below = names.child_path(names.split_key(F.col("key")), "view")
+    return rows.select(
+        "event_id", "key", F.get(server, F.lit(0)).alias("server_name"), F.size(server).alias("parts"), names.typed_key(F.get(server, F.lit(1)), "uint8").cast("long").alias("as_uint8"),
+        names.array_index((F.col("event_id") % 3 - 1).cast("string")).alias("idx"), F.array_join(below, names.SEPARATOR).alias("below_view"),
+    )
+
+
+#: A state with a struct, a map of structs and a list.
+STATE = T.StructType([
+    T.StructField("View", T.MapType(T.StringType(), T.StructType([T.StructField("Number", T.LongType()), T.StructField("Sub_Part", T.LongType())]))),
+    T.StructField("Click", T.ArrayType(T.StructType([T.StructField("Number", T.LongType())]))),
+    T.StructField("Purchase", T.LongType()),
+])
+
+
+@query(
+    "q_key_2_aliases",
+    """WITH p AS (SELECT *, event_id % 2 = 0 AS up FROM events),
+c AS (SELECT event_id, event_type || '%&' || CASE WHEN event_type IN ('view', 'click') THEN user_id || '%&number' WHEN up THEN user_id || '%&Number' ELSE user_id || '%&number' END AS key, user_id FROM p)
+SELECT key, count(*) AS n, min(event_id) AS first_event FROM c GROUP BY key""",
+)
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions by canonical key: spellings of one path that the schema knows are one."""
+    up, kind = F.col("event_id") % 2 == 0, F.col("event_type")
+    known = kind.isin("view", "click", "purchase")
+    first = F.when(up & known, F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, F.lit(2), F.length(kind)))).otherwise(kind)
+    path = F.array(first, F.col("user_id").cast("string"), F.when(up, "Number").otherwise("number"))
+    rows = events(spark, sf_dir).select("event_id", F.array_join(names.canonical_path(path, STATE), names.SEPARATOR).alias("key"))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type").isin("error", "purchase"), -1).otherwise(0)
     return events(spark, sf_dir).withColumn("delta", delta)
