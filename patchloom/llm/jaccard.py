@@ -6,7 +6,7 @@ all nodes puts first, and nodes that chose the same one share a bucket: two node
 probability equal to their similarity. Small buckets are brute-forced over sketches. A large
 bucket is split again on further chosen shingles, ``BRANCHES`` of them at each level. Runs repeat
 until a pair at the threshold is missed with a probability below 1 - recall (11 runs for 0.8 and
-1 - 3e-8); splitting adds a little, far below the loss of one run.
+1 - 4e-8; a recall that sketches cannot give is an error); splitting adds a little, far below the loss of one run.
 
 What comes out of buckets is not pairs but, for each bucket, a star of each set of nodes that
 sketches connect, so rows stay linear in the bucket. A large bucket whose nodes all agree with its
@@ -50,8 +50,8 @@ PART, PART_NODES = 1 << 20, 4096
 CELLS = 1 << 21
 _TURN = (np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
-#: Of pairs at the threshold.
-RECALL = 1 - 3e-8
+#: Of pairs at the threshold: 11 runs lose 2.1e-8 of them, the sketch test 1.8e-8.
+RECALL = 1 - 4e-8
 #: A text that has a word.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -286,10 +286,24 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
 
 
+def missed(threshold: float, runs: int) -> float:
+    """The share of pairs at the threshold that never share a bucket, or whose sketches agree too little."""
+    few = (math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) for k in range(round(AGREE * SKETCH)))
+    return (1 - threshold) ** runs + sum(few)
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """How many runs reach the recall; an error if those that a sketch allows do not."""
+    for runs in range(1, SKETCH + 1):
+        if missed(threshold, runs) <= 1 - recall:
+            return runs
+    raise ValueError(f"at a threshold of {threshold} the recall is {1 - missed(threshold, SKETCH):.9f} at most")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Rows with words (doc_id, row_key, root: a key of the class, class_id, n_links, n_copies), and doc_id of rows without."""
     work = Workspace(docs.sparkSession)
-    runs = min(SKETCH, math.ceil(math.log(max(1 - recall, 1e-15)) / math.log(1 - threshold)))
+    runs = runs_for(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).withColumn("row_key", _row_key())
     sets = work.save(docs.mapInArrow(_sets(shingle, runs), SETS), "sets")
     some = sets.filter("node IS NOT NULL")
