@@ -11,6 +11,10 @@ window repeats the system turn and then up to ``history_turns`` turns, of up to
 that end the window before. Targets are the assistant texts; repeated turns are masked, so each
 target counts once. Tokens are words, numbers and signs, counted by pattern.
 
+With ``spans="longest"`` a window takes the longest run of turns that fits what is left after the
+system turn and the history, which fills windows better; then what is gathered at once are 64 such
+rooms of a conversation.
+
 A conversation is sorted and summed as a stream within its partition; only windows, which the
 budget bounds, are gathered.
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]"
 BUDGET, HISTORY, HISTORY_TURNS = 512, 64, 2
+#: Ways to choose spans, and the rooms of a stretch in which the longest runs are sought.
+HALVES, LONGEST, ROOMS = "halves", "longest", 64
 
 
 def escape(text: Column) -> Column:
@@ -44,7 +50,28 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
-def turns(conversations: DataFrame, budget: int, history: int, history_turns: int) -> DataFrame:
+def _longest(rows: DataFrame) -> DataFrame:
+    """Sets ``fresh`` where the longest run of turns that fits ``room`` starts.
+
+    Prefix sums cut a conversation into stretches of ROOMS times the room, which bound what is
+    gathered; a stretch is cut into runs from its first turn on, so only its last run is short.
+    """
+    stretch = F.floor((F.col("sum") - F.col("tokens")) / (F.col("room") * ROOMS)).alias("stretch")
+    names = [c for c in rows.columns if c != "conv_id"]
+    held = rows.groupBy("conv_id", stretch).agg(F.array_sort(F.collect_list(F.struct("n", *(c for c in names if c != "n")))).alias("turns"))
+    begin = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("fresh"))
+
+    def step(acc: Column, t: Column) -> Column:
+        fits = (acc["used"] > 0) & (acc["used"] + t["tokens"] <= t["room"])
+        used = F.when(fits, acc["used"] + t["tokens"]).otherwise(t["tokens"])
+        return F.struct(used.alias("used"), F.concat(acc["fresh"], F.array((~fits).cast("int"))).alias("fresh"))
+
+    held = held.withColumn("fresh", F.aggregate("turns", begin, step)["fresh"])
+    out = held.select("conv_id", F.inline(F.arrays_zip("turns", F.col("fresh").alias("fresh"))))
+    return out.select("conv_id", *(F.col("turns")[c].alias(c) for c in names), F.when(F.col("turns.n") == 1, 0).otherwise(F.col("fresh")).alias("fresh"))
+
+
+def turns(conversations: DataFrame, budget: int, history: int, history_turns: int, spans: str = HALVES) -> DataFrame:
     """A row for each turn of each window: conv_id, window, place (order in it), repeated, role, text."""
     rows = conversations.select(
         F.col("conv_id").cast("long"),
@@ -60,11 +87,18 @@ def turns(conversations: DataFrame, budget: int, history: int, history_turns: in
         F.sum("tokens").over(upto).alias("sum"),
         F.first(F.when(F.col("role") == "system", F.struct("role", "text", "tokens"))).over(upto).alias("system"),
     )
-    room = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))) / 2))
-    rows = rows.withColumn("half", F.floor((F.col("sum") - F.col("tokens")) / room)).withColumn("alone", (F.col("tokens") > room).cast("int"))
-    rows = rows.withColumn("cut", 2 * F.sum("alone").over(upto) - F.col("alone"))
-    fresh = F.coalesce((F.lag("half").over(conv) != F.col("half")) | (F.lag("cut").over(conv) != F.col("cut")), F.lit(False))
-    rows = rows.withColumn("fresh", fresh.cast("int")).withColumn("window", F.sum("fresh").over(upto))
+    left = F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))
+    if spans == LONGEST:
+        rows = _longest(rows.withColumn("room", F.greatest(F.lit(1), left)))
+    else:
+        room = F.greatest(F.lit(1), F.floor(left / 2))
+        rows = rows.withColumn("half", F.floor((F.col("sum") - F.col("tokens")) / room)).withColumn("alone", (F.col("tokens") > room).cast("int"))
+        rows = rows.withColumn("cut", 2 * F.sum("alone").over(upto) - F.col("alone"))
+        fresh = F.coalesce((F.lag("half").over(conv) != F.col("half")) | (F.lag("cut").over(conv) != F.col("cut")), F.lit(False))
+        rows = rows.withColumn("fresh", fresh.cast("int"))
+    conv = Window.partitionBy("conv_id").orderBy("n")
+    upto = conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("window", F.sum("fresh").over(upto))
     rows = rows.withColumn("next", F.lead("window").over(conv))
     # The turns that end a window and start the one after it as history.
     back = Window.partitionBy("conv_id", "window").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,9 +116,9 @@ def turns(conversations: DataFrame, budget: int, history: int, history_turns: in
     return rows.select("conv_id", F.inline(F.filter(copies, lambda c: c.isNotNull())))
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, spans: str = HALVES) -> DataFrame:
     """conv_id, window, formatted, loss (array of start, end in code points of formatted), repeated_turns."""
-    rows = turns(conversations, budget, history, history_turns)
+    rows = turns(conversations, budget, history, history_turns, spans)
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     target = (F.col("role") == "assistant") & ~F.col("repeated")
