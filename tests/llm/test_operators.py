@@ -528,6 +528,14 @@ def test_jaccard_parts_by_nodes(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == brute_classes(docs)
 
 
+def test_jaccard_recall_is_kept_or_refused():
+    assert jaccard.runs_for(0.8, jaccard.RECALL) == 11 and jaccard.missed(0.8, 11) < 4e-8
+    assert jaccard.runs_for(0.7, 0.99) < 20
+    for threshold, recall in ((0.6, 0.99), (0.5, 0.9)):
+        with pytest.raises(ValueError, match="recall"):
+            jaccard.runs_for(threshold, recall)
+
+
 def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = [(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.join(odd_docs).collect()]
     assert len(got) == odd_docs.count() and got.count((9, 9, 0, 2)) == 2
@@ -709,6 +717,35 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(d.limit(0)).count() == 0
 
 
+def test_longest_spans_fill_windows(spark, monkeypatch):
+    """Windows take the longest runs of turns that fit, keep the budget, and read back as before."""
+    monkeypatch.setattr(chat, "ROOMS", 8)
+    rng = random.Random(19)
+    rows = [(c, t, "system" if t == 0 and c % 2 else rng.choice(["user", "assistant"]), " ".join(["word"] * rng.randrange(1, 30))) for c in range(6) for t in range(150)]
+    rows += [(7, t, "user", " ".join(["word"] * (900 if t == 3 else 5))) for t in range(6)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("room", F.lit("clash"))
+    formatted = chat.format_windows(d, 200, 40, 2, chat.LONGEST)
+    by, masks = {}, {}
+    for r in chat.read_back(formatted).orderBy("conv_id", "window").collect():
+        by.setdefault(r["conv_id"], []).extend((t["role"], t["text"]) for t in r["turns"])
+        masks.setdefault(r["conv_id"], []).extend(r["targets"])
+    assert by == {c: [(role, text) for k, _, role, text in rows if k == c] for c in {r[0] for r in rows}}
+    assert masks == {c: [x for role, x in t if role == "assistant"] for c, t in by.items() if any(role == "assistant" for role, _ in t)} | ({7: []} if 7 in masks else {})
+    total, own = Counter(), Counter()
+    for r in chat.turns(d, 200, 40, 2, chat.LONGEST).collect():
+        n = len(r["text"].split()) + 4
+        total[r["conv_id"], r["window"]] += n
+        own[r["conv_id"], r["window"]] += 0 if r["repeated"] else n
+    last = {c: max(w for k, w in total if k == c) for c in by}
+    assert all(n <= 200 or c == 7 for (c, _), n in total.items())
+    full = [n for (c, w), n in own.items() if c != 7 and w < last[c]]
+    assert sum(full) / len(full) > 0.8 * 150
+    half = Counter()
+    for r in chat.turns(d, 200, 40, 2).filter("NOT repeated").collect():
+        half[r["conv_id"], r["window"]] += 1
+    assert len(total) < 0.75 * len(half)
+
+
 # The pipeline
 
 
