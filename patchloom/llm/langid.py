@@ -35,6 +35,8 @@ BITS, ORDERS = 15, (1, 2, 3)
 HELD = 64
 #: Languages whose matrix is broadcast at once, about: 128 x 2**15 doubles are 32 MB.
 GROUP = 128
+#: Languages that a task scores at once.
+COLUMNS = 8
 #: How far below a language's own mean log-probability of an n-gram a text's may lie: so much, and so many standard errors.
 MARGIN, DEVIATIONS = 2.0, 3.0
 UNDETERMINED = "und"
@@ -60,7 +62,7 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
-def _pieces(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[str], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
         if i > lo and size + len(t) > most:
@@ -139,10 +141,18 @@ def train(labelled: DataFrame, most: int = GROUP) -> Iterator[Model]:
 def log_scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities, texts x languages, without priors, and the number of n-grams of each text; counts are sparse."""
     grams, first = buckets(texts)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    pairs, counts = np.unique((text << BITS) + grams, return_counts=True)
+    if len(texts) == 1:  # a long one: its counts are as many as there are buckets
+        counts = np.bincount(grams.ravel(), minlength=1 << BITS)
+        pairs = np.flatnonzero(counts)
+        counts = counts[pairs]
+    else:
+        text = np.repeat(np.arange(len(texts), dtype=np.uint32), np.diff(first))
+        pairs, counts = np.unique((text << np.uint32(BITS)) + grams, return_counts=True)
     begin = np.searchsorted(pairs >> BITS, np.arange(len(texts)))
-    return np.add.reduceat(counts[:, None] * model.weights[pairs & ((1 << BITS) - 1)], begin, axis=0), np.diff(first) * len(ORDERS)
+    bucket, logs = pairs & ((1 << BITS) - 1), np.empty((len(texts), len(model.langs)))
+    for k in range(0, len(model.langs), COLUMNS):  # what is multiplied at once does not grow with the languages
+        logs[:, k : k + COLUMNS] = np.add.reduceat(counts[:, None] * model.weights[bucket, k : k + COLUMNS], begin, axis=0)
+    return logs, np.diff(first) * len(ORDERS)
 
 
 def _predict(broadcast, carry: bool = False):
