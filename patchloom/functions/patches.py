@@ -28,22 +28,27 @@ def delete(at: Column, kind: str = "double") -> Column:
     return F.array(_row("delete", at, F.lit(None).cast(kind)))
 
 
+def clear(at: Column, kind: str = "double") -> Column:
+    """Empties what stands at a path."""
+    return F.array(_row("whole", at, F.lit(None).cast(kind)))
+
+
 def set_map(at: Column, value: Column, kind: str = "double") -> Column:
     """Replaces a map by a map: keys that it lacks are gone."""
     leaf = lambda e: _row("leaf", F.concat(at, F.array(e["key"].cast("string"))), e["value"])
-    return F.concat(F.array(_row("whole", at, F.lit(None).cast(kind))), F.transform(F.map_entries(value), leaf))
+    return F.concat(clear(at, kind), F.transform(F.map_entries(value), leaf))
 
 
 def set_array(at: Column, value: Column, kind: str = "double") -> Column:
     """Replaces an array by an array."""
     leaf = lambda x, i: _row("leaf", F.concat(at, F.array(i.cast("string"))), x)
-    return F.concat(F.array(_row("whole", at, F.lit(None).cast(kind))), F.transform(value, leaf))
+    return F.concat(clear(at, kind), F.transform(value, leaf))
 
 
 def set_struct(at: Column, kind: str = "double", **fields: Column) -> Column:
     """Replaces a struct, field by field."""
     leaves = (_row("leaf", F.concat(at, F.array(F.lit(n))), v) for n, v in fields.items())
-    return F.array(_row("whole", at, F.lit(None).cast(kind)), *leaves)
+    return F.concat(clear(at, kind), F.array(*leaves))
 
 
 def inside(at: Column, patch: Column) -> Column:

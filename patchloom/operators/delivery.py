@@ -110,6 +110,11 @@ def manifest_changes(current: DataFrame, desired: DataFrame, keys: Sequence[str]
     return start.union(stop)
 
 
+def still_wanted(rows: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Buffered rows whose keys are in a manifest."""
+    return rows.join(manifest.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def snapshot_modes(wanted: DataFrame, buildable: DataFrame, viewer: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """viewer, n_keys and mode: ``keyed`` if a snapshot can be built for every key a viewer wants, else the viewer gets all in ``full``."""
     rows = wanted.select(*viewer, *keys).distinct().join(buildable.select(*keys).distinct().withColumn("_known", F.lit(True)), list(keys), "left")

@@ -27,9 +27,13 @@ def mask_seq(keys: Sequence[str], seq: str = "seq", op: str = "op") -> Column:
 
 def current_state(log: DataFrame, keys: Sequence[str], leaf: str = "leaf", seq: str = "seq", op: str = "op") -> DataFrame:
     """The rows that make up the state: the last ``leaf`` row of each leaf that no mask follows."""
-    last = Window.partitionBy(*keys, leaf).orderBy(F.desc(seq))
-    alive = log.withColumn("_mask", mask_seq(keys, seq, op)).filter((F.col(op) == "leaf") & (F.col(seq) > F.col("_mask")))
-    return alive.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_mask")
+    # One aggregation by leaf, combined before the shuffle, so that no entity is one task; masks have no
+    # leaf and share a group. What is left is as small as the states.
+    kept = log.groupBy(*keys, F.when(F.col(op) == "leaf", F.col(leaf)).alias("_leaf")).agg(
+        F.max(F.when(masks(F.col(op)), F.col(seq))).alias("_mask"), F.max_by(F.struct(*(F.col(f"`{c}`") for c in log.columns)), F.when(F.col(op) == "leaf", F.col(seq))).alias("_row")
+    )
+    kept = kept.withColumn("_mask", F.max("_mask").over(Window.partitionBy(*keys))).filter(F.col("_row").isNotNull())
+    return kept.filter(F.col("_mask").isNull() | (F.col("_row")[seq] > F.col("_mask"))).select("_row.*")
 
 
 def surviving(log: DataFrame, keys: Sequence[str], path: str = "path", seq: str = "seq", op: str = "op", depth: int = 4) -> DataFrame:

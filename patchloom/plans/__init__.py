@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flows, nested, routes, state  # noqa: F401
+from . import flows, nested, routes, state, wire  # noqa: F401
 from .catalogue import QUERIES, SQL, Query
 
 

@@ -21,7 +21,7 @@ def nested_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(n % 11 == 0, F.lit("-1")).otherwise((n % 3).cast("string"))
     one = F.create_map(F.lit("0"), value)
     change = (
-        F.when(kind == "signup", build.patch(build.set_map(build.path(), F.map_filter(one, lambda k, v: F.lit(False))), build.set_leaf(build.path("view", "0"), F.lit(1.0))))
+        F.when(kind == "signup", build.patch(build.clear(build.path()), build.set_leaf(build.path("view", "0"), F.lit(1.0))))
         .when(kind == "error", build.delete(F.array(F.get(F.array(F.lit("view"), F.lit("click"), F.lit("purchase")), (n % 3).cast("int")))))
         .when((kind == "view") & (n % 4 == 0), build.inside(build.path("view"), build.set_map(build.path(), one)))
         .otherwise(build.set_leaf(build.path(kind, key), value))
@@ -124,7 +124,7 @@ def array_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = line.select("l_orderkey", seq.alias("seq"), n.alias("n"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"))
     whole = build.set_struct(build.path("0"), quantity=F.col("quantity"), tax=F.col("tax"))
     change = (
-        F.when(F.col("seq") == 1, build.patch(build.set_map(build.path(), F.create_map().cast("map<string,double>")), F.filter(whole, lambda r: r["op"] == "leaf")))
+        F.when(F.col("seq") == 1, build.patch(build.clear(build.path()), F.filter(whole, lambda r: r["op"] == "leaf")))
         .when(F.col("n") % 3 == 0, build.set_struct(build.path(F.col("n")), quantity=F.col("quantity"), tax=F.col("tax")))
         .otherwise(build.set_leaf(build.path(F.col("n"), F.lit("quantity")), F.col("quantity")))
     )
