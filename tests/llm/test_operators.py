@@ -775,6 +775,20 @@ def test_pipeline_by_brute_force(spark, odd_docs):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {i for i, _ in clean}
 
 
+@pytest.mark.parametrize("empty", ["documents", "benchmark"])
+def test_pipeline_with_an_empty_table(spark, odd_docs, tmp_path, empty):
+    import corpus_pipeline as c
+
+    folder = f"file:{tmp_path}"
+    docs, bench = table(spark, SMALL, "documents").limit(30).unionByName(odd_docs.drop("score")), table(spark, SMALL, "benchmark")
+    (docs.limit(0) if empty == "documents" else docs).write.parquet(f"{folder}/documents.parquet")
+    (bench.limit(0) if empty == "benchmark" else bench).write.parquet(f"{folder}/benchmark.parquet")
+    got = c.run(spark, folder)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert (got.count() == 0) == (empty == "documents")
+    assert secrets.redacted(docs.limit(0)).count() == 0
+
+
 def test_queries_have_all_numbers():
     assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
