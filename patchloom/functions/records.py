@@ -1,6 +1,6 @@
 """Typed values and fielded records as column expressions, driven by Spark types.
 
-A boolean is one byte; whole numbers are packed; text has its packed length before it; a time is
+A boolean is one byte; whole numbers are packed; floating point numbers are their bits, the lowest byte first; text has its packed length before it; a time is
 its packed Unix milliseconds; bytes, arrays and maps have a byte that is 1 for null, then a packed
 length and their entries (a map's by key, so that equal maps have equal bytes). A struct is a
 fielded record: ``[number][packed length][value]`` for each field that is not zero, where a field's
@@ -13,12 +13,13 @@ false, 0 and empty text for plain fields, null for optional ones, bytes, arrays,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import floats
 from .codec import little, number, packed, unpacked
 from .packets import let
 
@@ -26,6 +27,10 @@ _NULL, _SOME = b"\x01", b"\x00"
 #: Numbers are one byte and none is 0, so a record has 255 fields at most.
 MOST_FIELDS = 255
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+REAL = (T.FloatType, T.DoubleType)
+#: The byte that stands for a type where a value describes itself; elements' types follow.
+CODES = {T.BooleanType: 1, T.StringType: 2, T.ByteType: 3, T.ShortType: 4, T.IntegerType: 5, T.LongType: 6, T.FloatType: 11, T.DoubleType: 12, T.TimestampType: 13}
+UNSIGNED_BYTE, ARRAY, MAP = 7, 15, 16
 
 
 def _packed(value: Column) -> Column:
@@ -43,6 +48,9 @@ def encode(value: Column, kind: T.DataType) -> Column:
         return little(F.coalesce(value, F.lit(False)).cast("int"), 1)
     if isinstance(kind, WHOLE):
         return _packed(F.coalesce(value, F.lit(0)))
+    if isinstance(kind, REAL):
+        layout = floats.layout_of(kind)
+        return let(floats.bits(F.coalesce(value, F.lit(0.0)), layout), lambda b: little(b, layout.size))
     if isinstance(kind, T.StringType):
         return _string(F.coalesce(value, F.lit("")))
     if isinstance(kind, T.TimestampType):
@@ -85,7 +93,8 @@ def record(value: Column, kind: T.StructType) -> Column:
         zero = x.isNull()
         if not _optional(f):
             zeros = {T.BooleanType: ~x, T.StringType: x == ""} if isinstance(f.dataType, (T.BooleanType, T.StringType)) else {}
-            zero = zero | (zeros.get(type(f.dataType)) if zeros else (x == 0) if isinstance(f.dataType, WHOLE) else F.lit(False))
+            plain = (x == 0) if isinstance(f.dataType, WHOLE) else ((x == 0) & ~x.cast("string").startswith("-")) if isinstance(f.dataType, REAL) else F.lit(False)
+            zero = zero | (zeros.get(type(f.dataType)) if zeros else plain)
         out.append(F.when(zero, F.lit(b"")).otherwise(let(raw, _numbered(int(f.metadata["fID"])))))
     return F.concat(*out) if out else F.lit(b"")
 
@@ -149,6 +158,13 @@ def decode_at(raw: Column, at: Column, kind: T.DataType) -> Column:
         return one(F.when((byte <= 1) & (at < F.octet_length(raw)), at + 1), byte == 1)
     if isinstance(kind, WHOLE):
         return let(_packed_at(raw, at), lambda n: one(n["at"], n["value"].try_cast(kind.simpleString())))
+    if isinstance(kind, REAL):
+        layout = floats.layout_of(kind)
+        bits = number(F.substring(raw, at + 1, F.lit(layout.size)), 0, layout.size)
+        return one(F.when(at + layout.size <= F.octet_length(raw), at + layout.size), floats.from_bits(bits, layout).cast(kind.simpleString()))
+    if isinstance(kind, T.StructType):  # a record has no end of its own: it goes as far as its field does
+        inner = decode(F.substring(raw, at + 1, F.octet_length(raw)), kind)
+        return let(inner, lambda d: one(F.when(d["error"].isNull(), F.octet_length(raw)), d["value"]))
     if isinstance(kind, T.TimestampType):
         return let(_packed_at(raw, at), lambda n: one(n["at"], F.timestamp_millis(n["value"])))
     if isinstance(kind, T.StringType):
@@ -171,8 +187,11 @@ def _list_at(raw: Column, at: Column, kind: T.DataType, least: int) -> Column:
     state = f"struct<at:int,found:array<{kind.simpleString()}>>"
     broken = F.lit(None).cast(state)
 
+    if least == 1 and isinstance(kind, T.StructType):
+        raise TypeError("records in lists have no end of their own")
+
     def entry(here: Column) -> Column:
-        if not isinstance(kind, T.StructType):
+        if least == 1:
             return decode_at(raw, here, kind)
         k, v = kind[0].dataType, kind[1].dataType
         both = lambda a: let(decode_at(raw, a["at"], v), lambda b: F.struct(b["at"].alias("at"), F.struct(a["value"].alias("k"), b["value"].alias("v")).alias("value")))
@@ -202,7 +221,7 @@ def decode(raw: Column, kind: T.StructType) -> Column:
         return let(part, flagged)
 
     def missing(f: T.StructField) -> Column:
-        zero = None if _optional(f) else False if isinstance(f.dataType, T.BooleanType) else 0 if isinstance(f.dataType, WHOLE) else "" if isinstance(f.dataType, T.StringType) else None
+        zero = None if _optional(f) else False if isinstance(f.dataType, T.BooleanType) else 0 if isinstance(f.dataType, (*WHOLE, *REAL)) else "" if isinstance(f.dataType, T.StringType) else None
         return F.lit(zero).cast(f.dataType)
 
     def values(read: Column, total: Column) -> Column:
@@ -219,3 +238,38 @@ def decode(raw: Column, kind: T.StructType) -> Column:
         return let(parts, whole)
 
     return let(raw, lambda r: let(fields_of(r), lambda read: values(read, F.octet_length(r))))
+
+
+def descriptor(kind: T.DataType) -> bytes:
+    """The bytes that describe a type."""
+    if isinstance(kind, T.BinaryType):
+        return bytes([ARRAY, UNSIGNED_BYTE])
+    if isinstance(kind, T.ArrayType):
+        return bytes([ARRAY]) + descriptor(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return bytes([MAP]) + descriptor(kind.keyType) + descriptor(kind.valueType)
+    if type(kind) not in CODES:
+        raise TypeError(f"no description of {kind.simpleString()}")
+    return bytes([CODES[type(kind)]])
+
+
+def dynamic(value: Column, kind: T.DataType) -> Column:
+    """A value with its type before it; null has no type and stays null."""
+    return F.when(value.isNotNull(), F.concat(F.lit(descriptor(kind)), encode(value, kind)))
+
+
+def read_dynamic(raw: Column, kinds: Mapping[str, T.DataType]) -> Column:
+    """struct of the kinds by name, all null but the one that the bytes describe, and error: another type, or bytes missing or left over."""
+    heads = {name: descriptor(kind) for name, kind in kinds.items()}
+    if len(set(heads.values())) < len(heads):
+        raise ValueError("two kinds have one description")
+    is_kind = {name: F.substring(raw, 1, len(h)) == F.lit(h) for name, h in heads.items()}
+    read = F.struct(*(F.when(is_kind[n], decode_at(raw, F.lit(len(heads[n])), k)).alias(n) for n, k in kinds.items()))
+
+    def whole(r: Column) -> Column:
+        ends = F.coalesce(*(r[n]["at"] for n in kinds))
+        known = F.greatest(*(c.cast("int") for c in is_kind.values()), F.lit(0)) == 1
+        error = F.when(~known, "unknown type").when(ends.isNull(), "truncated").when(ends < F.octet_length(raw), "trailing bytes")
+        return F.struct(*(F.when(error.isNull(), r[n]["value"]).alias(n) for n in kinds), error.alias("error"))
+
+    return F.when(raw.isNotNull(), let(read, whole))

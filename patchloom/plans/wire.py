@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import packets as wire
 from ..functions import patches as build
+from ..functions import records
 from ..operators import delivery, fold, registry, subs
+from ..sources.tables import spread
 from .catalogue import query
 from .routes import ORDER, ROUTES, counts
 from .state import LOG, event_log, events
@@ -101,3 +104,47 @@ def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = rows.select("c_custkey", wire.decode_greeting(damaged).alias("g"))
     f = g.withColumn("f", wire.flags(F.col("g.metadata"), FLAGS))
     return f.select("c_custkey", "g.error", "g.device", "g.version", "f.on_demand", "f.streams", F.try_element_at("g.metadata", F.lit("segment")).alias("segment"))
+
+
+_PLACE = T.StructType([T.StructField("x", T.DoubleType(), metadata={"fID": 1}), T.StructField("y", T.FloatType(), metadata={"fID": 2}), T.StructField("of", T.StringType(), metadata={"fID": 3})])
+#: A record in a record, with floating point numbers and a list of them.
+SAMPLE = T.StructType([
+    T.StructField("id", T.LongType(), metadata={"fID": 1}),
+    T.StructField("at", _PLACE, metadata={"fID": 2}),
+    T.StructField("list", T.ArrayType(T.DoubleType()), metadata={"fID": 3}),
+])
+
+
+@query(
+    "q_cod_4_floats",
+    """SELECT event_id AS id, value / 3 AS x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS y, event_type AS of_type, -value AS first, CAST(event_id AS DOUBLE) AS second, CAST(NULL AS VARCHAR) AS error FROM events""",
+)
+def float_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floating point numbers of both sizes in a record within a record, written and read again."""
+    value = F.struct(
+        F.col("event_id").alias("id"), F.struct((F.col("value") / 3).alias("x"), F.col("value").cast("float").alias("y"), F.col("event_type").alias("of")).alias("at"),
+        F.array(-F.col("value"), F.col("event_id").cast("double")).alias("list"),
+    )
+    raw = spread(events(spark, sf_dir)).select(records.record(value, SAMPLE).alias("raw"))
+    p = raw.select(records.decode(F.col("raw"), SAMPLE).alias("p")).select("p.value.*", "p.error")
+    return p.select("id", "at.x", F.col("at.y").cast("double").alias("y"), F.col("at.of").alias("of_type"), F.get("list", F.lit(0)).alias("first"), F.get("list", F.lit(1)).alias("second"), "error")
+
+
+DYNAMIC = {"text": T.StringType(), "number": T.DoubleType(), "counts": T.MapType(T.StringType(), T.LongType())}
+
+
+@query(
+    "q_cod_5_dynamic",
+    """SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'unknown type' WHEN event_id % 17 = 0 THEN 'trailing bytes' END AS error, CASE WHEN event_id % 17 > 0 AND event_id % 5 = 0 THEN event_type END AS text,
+CASE WHEN event_id % 17 > 0 AND event_id % 5 IN (1, 2) THEN value END AS number, CASE WHEN event_id % 17 > 0 AND event_id % 5 = 3 THEN user_id END AS counted FROM events""",
+)
+def dynamic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that describe themselves: text, numbers, maps, and a type that the reader does not know."""
+    n, k = F.col("event_id"), F.col("event_id") % 5
+    raw = (
+        F.when(k == 0, records.dynamic(F.col("event_type"), DYNAMIC["text"])).when(k.isin(1, 2), records.dynamic(F.col("value"), DYNAMIC["number"]))
+        .when(k == 3, records.dynamic(F.create_map("event_type", "user_id"), DYNAMIC["counts"])).otherwise(records.dynamic(n % 2 == 0, T.BooleanType()))
+    )
+    rows = spread(events(spark, sf_dir)).select("event_id", "event_type", F.when(n % 17 == 0, F.concat(raw, F.lit(b"\x00"))).otherwise(raw).alias("raw"))
+    p = rows.select("event_id", "event_type", records.read_dynamic(F.col("raw"), DYNAMIC).alias("p")).select("event_id", "event_type", "p.*")
+    return p.select("event_id", "error", "text", "number", F.try_element_at("counts", F.col("event_type")).alias("counted"))
