@@ -46,15 +46,28 @@ def packed(value: Column) -> Column:
     )
 
 
+def signs(raw: Column) -> Column:
+    """The bytes as text, a sign for each."""
+    return F.decode(raw, BYTES)
+
+
+def of_signs(text: Column, at: int, size: int) -> Column:
+    """A little-endian unsigned number out of ``signs``; bytes that are missing count as 0."""
+    return reduce(Column.__add__, (F.shiftleft(F.ascii(F.substring(text, at + k + 1, 1)).cast("long"), 8 * k) for k in range(size)))
+
+
 def number(raw: Column, at: int, size: int) -> Column:
-    """A little-endian unsigned number; 0 where bytes are missing."""
-    signs = F.decode(F.substring(raw, at + 1, size), BYTES)
-    return reduce(Column.__add__, (F.shiftleft(F.ascii(F.substring(signs, k + 1, 1)).cast("long"), 8 * k) for k in range(size)))
+    """A little-endian unsigned number; bytes that are missing count as 0."""
+    return of_signs(signs(F.substring(raw, at + 1, size)), 0, size)
 
 
 def unpacked(raw: Column) -> Column:
     """The long that a packed integer holds."""
-    b0, b1, u16, u32, b8 = number(raw, 0, 1), number(raw, 1, 1), number(raw, 2, 2), number(raw, 4, 4), number(raw, 8, 1)
+    return unpacked_signs(signs(F.substring(raw, 1, 9)))
+
+
+def unpacked_signs(text: Column) -> Column:
+    b0, b1, u16, u32, b8 = of_signs(text, 0, 1), of_signs(text, 1, 1), of_signs(text, 2, 2), of_signs(text, 4, 4), of_signs(text, 8, 1)
     low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
     on = lambda x, bit: x.bitwiseAND(F.lit(1 << bit)) != 0
     m = low(b0, 6)
