@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,10 @@ def other_columns(docs: DataFrame) -> Column:
 def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs, in order, from text and the struct ``row``."""
     return rows.select(*((F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds the Python objects of few rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._common import Workspace, other_columns, restored, text_volume
+from ._common import Workspace, other_columns, restored, sliced, text_volume
 
 PART_BYTES = 4 << 20
 FOUND = "{row}, text binary, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -130,7 +130,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
 def _search(patterns):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tables = patterns.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             spans = [[(s["start"], s["end"]) for s in x or ()] for x in batch.column("spans").to_pylist()]
             items = [set(x or ()) for x in batch.column("items").to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, crc_mod, other_columns, restored
+from ._common import Workspace, crc_mod, other_columns, restored, sliced
 
 BITS, ORDERS = 15, (1, 2, 3)
 #: Languages that a task counts before it sends its counts on.
@@ -85,7 +85,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n": pa.array(np.concatenate([np.append(held[lang][f], rows[lang]) for lang, f in full.items()]), pa.int64()),
         })
 
-    for batch in batches:
+    for batch in sliced(batches):
         by_lang: dict[str, list[str]] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text)
@@ -158,7 +158,7 @@ def log_scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
 def _predict(broadcast, carry: bool = False):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             lang, logs, total, fits = (batch.column(c).to_pylist() for c in ("lang_pred", "_log", "_total", "_fits"))
             some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bpe import Encoder
-from ._common import Workspace, text_or_empty
+from ._common import Workspace, sliced, text_or_empty
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, pos long"
 #: Most rows of first ranks that are broadcast, of 24 bytes each.
@@ -46,7 +46,7 @@ def _tokenise(path: str, closing: int, capacity: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.at(path), TaskContext.get().partitionId()
         end, seen = closing.to_bytes(4, "little"), defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches):
             doc_ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 1024):
