@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing as H
-from ._common import Workspace
+from ._common import Workspace, sliced
 from .components import components
 
 SKETCH, BRANCHES, SMALL, DEPTH = 64, 3, 4096, 4
@@ -79,7 +79,7 @@ def _turned(s: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def _sets(shingle: int, runs: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             node, size, sketch, chosen = [], [], [], []
             for s in shingle_sets(texts, shingle):
@@ -104,7 +104,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Ite
     """Tables of about ``most`` rows from sorted batches, never parting rows of one key."""
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
+    for batch in sliced(batches):
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -354,11 +354,13 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall:
     linked, _ = classes(docs, threshold, shingle, recall)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     kept = linked.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.row_key").alias("_kept_key"))
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _row_key().alias("_row_key"))
+    # Of rows that share doc_id and text, the same one stays in every run; it is chosen by keys, without the texts.
+    others = F.xxhash64(F.to_json(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != "text")))).alias("_others")
+    keys = docs.select(_row_key().alias("_kept_key"), others)
+    kept = kept.join(keys, "_kept_key").groupBy("_kept_id", "_kept_key").agg(F.min("_others").alias("_kept_others"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), _row_key().alias("_row_key"), others)
     has_words = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
     same_id = (F.col("doc_id") == F.col("_kept_id")) | (F.col("doc_id").isNull() & F.col("_kept_id").isNull())
-    chosen = rows.filter(has_words).join(kept, (F.col("_row_key") == F.col("_kept_key")) & same_id)
-    # Of rows that share doc_id and text, the same one stays in every run.
-    others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    chosen = chosen.groupBy("_row_key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64(F.to_json(others)), F.to_json(others))).alias("row"))
-    return chosen.select(*(F.col("row")[c].alias(c) for c in docs.columns)).union(rows.filter(~has_words).select(*docs.columns))
+    same = (F.col("_row_key") == F.col("_kept_key")) & (F.col("_others") == F.col("_kept_others")) & same_id
+    chosen = rows.filter(has_words).join(kept, same).dropDuplicates(["_row_key"])
+    return chosen.select(*docs.columns).union(rows.filter(~has_words).select(*docs.columns))
