@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 from . import _hashing as H
 
 #: Pieces kept, and the longest that is.
-KEPT, LONGEST = 400_000, 24
-CHUNK = 1 << 21
+KEPT, LONGEST = 150_000, 24
+CHUNK = 1 << 19
 LETTER, NUMBER, SPACE, OTHER, STOP = range(5)
 #: Between texts; no text that holds it is cut here.
 STOP_SIGN = "⁣"
