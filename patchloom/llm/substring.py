@@ -45,7 +45,7 @@ def _cuts(docs: DataFrame, n: int) -> list[tuple[bool, int, int]]:
     """Sorted keys (has an id, doc_id or 0, hash) that cut docs into n blocks of about equal bytes; a heavy key comes more than once."""
     rows, volume = text_volume(docs)
     points = min(POINTS * n, MOST_POINTS)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES  # times the points it is beyond an int
     taken = F.floor(size * points / max(1, volume + ROW_BYTES * rows) + F.rand(17))
     key = (F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")
     got = docs.select(*key, taken.alias("n")).filter("n > 0").toArrow()

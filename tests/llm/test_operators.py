@@ -451,6 +451,13 @@ def test_substring_splits_hot_ids(spark):
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(expected)
 
 
+def test_substring_cuts_of_many_blocks(spark):
+    """Bytes of a text times the points for thousands of blocks are beyond an int."""
+    d = spark.createDataFrame([(i, "long text " * 2000) for i in range(40)], "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    got = [r["block"] for r in d.withColumn("block", substring.range_blocks(d, 8192)).orderBy("doc_id").collect()]
+    assert got == sorted(got) and 0 <= got[0] and got[-1] < 8192 and len(set(got)) > 30
+
+
 # 7 Jaccard join
 
 
