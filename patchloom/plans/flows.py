@@ -411,8 +411,9 @@ _VALUES = "SELECT CAST(l_orderkey * l_partkey * (l_linenumber - 3) * (CASE WHEN
 
 
 def codec_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.when(F.col("l_suppkey") % 3 == 0, 100000007).otherwise(1)
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * F.col("l_partkey") * (F.col("l_linenumber") - 3) * wide).alias("v"))
+    """Numbers of all sizes; null where the product is beyond a long, so that no packed integer holds it."""
+    n = (F.col("l_linenumber") - 3).cast("long") * F.when(F.col("l_suppkey") % 3 == 0, 100000007).otherwise(1)
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.try_multiply(F.try_multiply(n, F.col("l_partkey")), F.col("l_orderkey")).alias("v"))
 
 
 @query("q_cod_1_packed_size", f"SELECT CAST({_SIZES} AS INTEGER) AS size, count(*) AS n FROM ({_VALUES}) GROUP BY ALL")
@@ -422,6 +423,7 @@ def packed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_cod_2_round_trip", f"SELECT CAST({_SIZES} AS INTEGER) AS size, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM ({_VALUES}) GROUP BY ALL")
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed integers written and read again; numbers that cannot be written are counted under the size null."""
     rows = codec_values(spark, sf_dir).withColumn("raw", codec.packed(F.col("v")))
     return rows.groupBy(F.octet_length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(codec.unpacked(F.col("raw")) != F.col("v")).alias("mismatches"))
 
