@@ -8,76 +8,80 @@ A packed integer has a first byte of continuation bit, sign bit and 6 bits, then
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: One sign for each byte, with its number.
-BYTES = "ISO-8859-1"
+_EVERY = bytes(range(256))
+#: The low half of each byte.
+_HALVES = 0x0F0F0F0F0F0F0F0F
+
+
+def _turned(v: Column) -> Column:
+    """The halves of each byte exchanged, so that hexadecimal digits read backwards are the bytes backwards."""
+    return F.shiftleft(v.bitwiseAND(F.lit(_HALVES)), 4).bitwiseOR(F.shiftrightunsigned(v, 4).bitwiseAND(F.lit(_HALVES)))
 
 
 def little(value: Column, size: int) -> Column:
     """The low bytes of a number, the lowest first."""
     v = value.cast("long")
-    return F.encode(F.concat(*(F.char(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))) for k in range(size))), BYTES)
+    if size == 1:
+        return F.substring(F.lit(_EVERY), v.bitwiseAND(F.lit(255)).cast("int") + 1, F.lit(1))
+    low = v if size == 8 else v.bitwiseAND(F.lit((1 << 8 * size) - 1))
+    return F.unhex(F.reverse(F.lpad(F.hex(_turned(low)), 2 * size, "0")))
 
 
 def packed_size(value: Column) -> Column:
-    m = F.abs(value.cast("decimal(20,0)"))
-    return F.when(m < 1 << 6, 1).when(m < 1 << 13, 2).when(m < 1 << 28, 4).when(m < F.lit(1 << 59).cast("decimal(20,0)"), 8).otherwise(9)
+    """Bytes of a packed integer; 9 for what is beyond a long."""
+    v = value.try_cast("long")
+    within = lambda bits: (v > -(1 << bits)) & (v < 1 << bits)
+    return F.when(within(6), 1).when(within(13), 2).when(within(28), 4).when(within(59), 8).otherwise(9)
 
 
 def packed(value: Column) -> Column:
     """A long as a packed integer. The smallest long, whose magnitude is no long, is null."""
     v = value.cast("long")
-    m = F.when(v == F.lit(-(1 << 63)), F.lit(None)).otherwise(F.abs(v))
-    size = F.when(m < 1 << 6, 1).when(m < 1 << 13, 2).when(m < 1 << 28, 4).when(m < 1 << 59, 8).otherwise(9)
-    part = lambda shift, bits: F.shiftright(m, shift).bitwiseAND(F.lit((1 << bits) - 1))
-    more = lambda least, bit: F.when(size > least, F.lit(1 << bit)).otherwise(F.lit(0))
-    none = F.lit(b"")
-    return F.concat(
-        little(part(0, 6) + F.when(v < 0, 64).otherwise(0) + more(1, 7), 1),
-        F.when(size > 1, little(part(6, 7) + more(2, 7), 1)).otherwise(none),
-        F.when(size > 2, little(part(13, 15) + more(4, 15), 2)).otherwise(none),
-        F.when(size > 4, little(part(28, 31) + more(8, 31), 4)).otherwise(none),
-        F.when(size > 8, little(part(59, 5), 1)).otherwise(none),
+    m = F.when(v != F.lit(-(1 << 63)), F.abs(v))
+    # Each part with its continuation bit set, and the last one without.
+    head = m.bitwiseAND(F.lit(63)) + F.when(v < 0, 64).otherwise(0)
+    part = lambda shift, bits: F.shiftright(m, shift).bitwiseAND(F.lit((1 << bits) - 1)) + (1 << bits)
+    two = head + 128
+    four = two + F.shiftleft(part(6, 7), 8)
+    eight = four + F.shiftleft(part(13, 15), 16)
+    return (
+        F.when(m < 1 << 6, little(head, 1))
+        .when(m < 1 << 13, little(two + F.shiftleft(F.shiftright(m, 6), 8), 2))
+        .when(m < 1 << 28, little(four + F.shiftleft(F.shiftright(m, 13), 16), 4))
+        .when(m < 1 << 59, little(eight + F.shiftleft(F.shiftright(m, 28), 32), 8))
+        .otherwise(F.concat(little(eight.bitwiseOR(F.shiftleft(part(28, 31), 32)), 8), little(F.shiftright(m, 59), 1)))
     )
 
 
-def signs(raw: Column) -> Column:
-    """The bytes as text, a sign for each."""
-    return F.decode(raw, BYTES)
+def number(raw: Column, at: Column | int, size: int) -> Column:
+    """A little-endian unsigned number; bytes that are missing count as 0."""
+    digits = F.reverse(F.hex(F.substring(raw, F.lit(at) + 1, F.lit(size))))
+    return _turned(F.conv(F.concat(F.lit("0"), digits), 16, -10).cast("long"))
 
 
-def of_signs(text: Column, at: int, size: int) -> Column:
-    """A little-endian unsigned number out of ``signs``; bytes that are missing count as 0."""
-    return reduce(Column.__add__, (F.shiftleft(F.ascii(F.substring(text, at + k + 1, 1)).cast("long"), 8 * k) for k in range(size)))
+def packed_length(low: Column) -> Column:
+    """How many bytes a packed integer takes, from its low 8 bytes as a number."""
+    on = lambda bit: low.bitwiseAND(F.lit(1 << bit)) == 0
+    return F.when(on(7), 1).when(on(15), 2).when(on(31), 4).when(low >= 0, 8).otherwise(9)
 
 
-def number(raw: Column, at: int, size: int) -> Column:
-    """A little-endian unsigned number; bytes that are missing count as 0."""
-    return of_signs(signs(F.substring(raw, at + 1, size)), 0, size)
+def unpacked_number(low: Column, last: Column) -> Column:
+    """The long that a packed integer holds, from its low 8 bytes as a number and the ninth."""
+    part = lambda shift, bits, to: F.shiftleft(F.shiftrightunsigned(low, shift).bitwiseAND(F.lit((1 << bits) - 1)), to)
+    size = packed_length(low)
+    two, four, eight = part(0, 6, 0) + part(8, 7, 6), part(16, 15, 13), part(32, 31, 28)
+    m = F.when(size == 1, part(0, 6, 0)).when(size == 2, two).when(size == 4, two + four).when(size == 8, two + four + eight).otherwise(two + four + eight + F.shiftleft(last, 59))
+    return F.when(low.bitwiseAND(F.lit(64)) != 0, -m).otherwise(m)
 
 
 def unpacked(raw: Column) -> Column:
     """The long that a packed integer holds."""
-    return unpacked_signs(signs(F.substring(raw, 1, 9)))
-
-
-def unpacked_signs(text: Column) -> Column:
-    b0, b1, u16, u32, b8 = of_signs(text, 0, 1), of_signs(text, 1, 1), of_signs(text, 2, 2), of_signs(text, 4, 4), of_signs(text, 8, 1)
-    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
-    on = lambda x, bit: x.bitwiseAND(F.lit(1 << bit)) != 0
-    m = low(b0, 6)
-    two = on(b0, 7)
-    four = two & on(b1, 7)
-    eight = four & on(u16, 15)
-    nine = eight & on(u32, 31)
-    for has, x, bits, shift in ((two, b1, 7, 6), (four, u16, 15, 13), (eight, u32, 31, 28), (nine, b8, 4, 59)):
-        m = m + F.when(has, F.shiftleft(low(x, bits), shift)).otherwise(F.lit(0))
-    return F.when(on(b0, 6), -m).otherwise(m)
+    return unpacked_number(number(raw, 0, 8), number(raw, 8, 1))
 
 
 def string(value: Column) -> Column:

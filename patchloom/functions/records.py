@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import floats
-from .codec import little, number, of_signs, packed, signs, unpacked_signs
+from .codec import little, number, packed, packed_length, unpacked_number
 from .packets import let
 
 _NULL, _SOME = b"\x01", b"\x00"
@@ -101,23 +101,18 @@ def record(value: Column, kind: T.StructType) -> Column:
 
 def _packed_at(raw: Column, at: Column) -> Column:
     """struct(at: after the number, or null if bytes are missing; value)."""
-    on = lambda x, bit: x.bitwiseAND(F.lit(1 << bit)) != 0
+    left = F.octet_length(raw) - at
 
-    def sized(text: Column) -> Column:
-        two = on(of_signs(text, 0, 1), 7)
-        four = two & on(of_signs(text, 1, 1), 7)
-        eight = four & on(of_signs(text, 3, 1), 7)
-        nine = eight & on(of_signs(text, 7, 1), 7)
-        size = F.when(nine, 9).when(eight, 8).when(four, 4).when(two, 2).otherwise(1)
-        return let(size, lambda n: F.struct(F.when(F.length(text) >= n, at + n).cast("int").alias("at"), unpacked_signs(text).alias("value")))
+    def longer(low: Column) -> Column:
+        return let(packed_length(low), lambda n: F.struct(F.when(left >= n, at + n).cast("int").alias("at"), unpacked_number(low, number(raw, at + 8, 1)).alias("value")))
 
-    def short(text: Column, b0: Column) -> Column:
+    def short(b0: Column) -> Column:
         """Most numbers take one byte, which needs no more than that."""
         low = b0.bitwiseAND(F.lit(63))
-        one = F.struct(F.when(F.length(text) >= 1, at + 1).cast("int").alias("at"), F.when(b0 >= 64, -low).otherwise(low).alias("value"))
-        return F.when(b0 < 128, one).otherwise(sized(text))
+        one = F.struct(F.when(left >= 1, at + 1).cast("int").alias("at"), F.when(b0 >= 64, -low).otherwise(low).alias("value"))
+        return F.when(b0 < 128, one).otherwise(let(number(raw, at, 8), longer))
 
-    return let(signs(F.substring(raw, at + 1, F.lit(9))), lambda text: let(of_signs(text, 0, 1), lambda b0: short(text, b0)))
+    return let(number(raw, at, 1), short)
 
 
 def _bytes_at(raw: Column, at: Column) -> Column:

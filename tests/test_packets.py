@@ -75,3 +75,31 @@ def test_flags(spark):
     got = d.select(P.flags(F.col("m"), {"a": "cap.a", "b": "cap.b"}).alias("f"), P.with_flags(F.col("m"), {"cap.b": F.col("b"), "cap.a": F.lit(False)}).alias("w")).collect()
     assert [tuple(r["f"]) for r in got] == [(True, False), (False, False), (False, True)]
     assert [r["w"] for r in got] == [{"own": "x", "cap.b": "1"}, None, None]
+
+
+def test_numbers_beyond_a_long(spark, tmp_path):
+    """Keys of large tables, whose product no long holds: counted with 9 bytes, or as not written."""
+    from patchloom.plans import flows
+
+    line = [(10**7, 10**6, 3, 4), (10**7, 10**6, 3, 3), (5, 2, 1, 4), (1, 1, 1, 1)]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, flows.packed_sizes(spark, str(tmp_path)).collect())) == [(1, 3), (9, 1)]
+    assert sorted(map(tuple, flows.round_trip(spark, str(tmp_path)).collect()), key=str) == [(1, 3, 0), (None, 1, 0)]
+
+
+def test_numbers_by_plain_python(spark):
+    """Bytes of numbers of any size, of those cut short, and packed integers at the bounds of their sizes."""
+    import random
+
+    from patchloom.functions import codec
+
+    rng = random.Random(3)
+    values = [s * ((1 << b) + d) for b in (0, 6, 13, 28, 59, 62) for d in (-1, 0, 1) for s in (1, -1)] + [(1 << 63) - 1, -(1 << 63), *(rng.randrange(-(1 << 63), 1 << 63) >> rng.randrange(64) for _ in range(200))]
+    raw = F.concat(codec.little(F.col("v"), 8), F.lit(b"z"))
+    sizes = {f"n{k}": codec.number(raw, 0, k) for k in (1, 2, 4, 8)} | {f"l{k}": codec.little(F.col("v"), k) for k in (1, 2, 4, 8)}
+    more = {"short": codec.number(raw, 7, 4), "none": codec.number(raw, 20, 4), "no": codec.number(F.lit(None).cast("binary"), 0, 4), "p": codec.packed(F.col("v")), "size": codec.packed_size(F.col("v"))}
+    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", codec.unpacked(codec.packed(F.col("v"))).alias("back"), *(c.alias(n) for n, c in (sizes | more).items())).collect():
+        whole = r["v"].to_bytes(8, "little", signed=True)
+        assert all(bytes(r[f"l{k}"]) == whole[:k] for k in (1, 2, 4, 8)) and all(r[f"n{k}"] == int.from_bytes(whole[:k], "little") for k in (1, 2, 4)) and r["n8"] == r["v"]
+        assert (r["short"], r["none"], r["no"]) == (whole[7] + 256 * ord("z"), 0, None)
+        assert r["back"] == (None if r["v"] == -(1 << 63) else r["v"]) and r["size"] == (9 if r["p"] is None else len(r["p"]))
