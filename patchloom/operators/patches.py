@@ -55,9 +55,9 @@ def lifetimes(log: DataFrame, keys: Sequence[str], path: str = "path", seq: str
 
 
 def prune_nested(
-    log: DataFrame, keys: Sequence[str], path: str = "path", seq: str = "seq", op: str = "op", value: str = "value", depth: int = 4, index_depths: Collection[int] = ()
+    log: DataFrame, keys: Sequence[str], path: str = "path", seq: str = "seq", op: str = "op", value: str = "value", depth: int = 4, index_depths: Collection[int] = (), parts: int | None = None
 ) -> DataFrame:
-    """The rows that change the state they meet.
+    """The rows that change the state they meet. ``parts`` is the number of partitions of the join, for logs of many rows.
 
     A leaf goes if its path holds an equal value (nulls equal nulls), a delete if nothing stands at
     its path or below, a whole, with its leaves, if what it replaces equals it. Rows whose path has
@@ -82,7 +82,9 @@ def prune_nested(
     changed = met.groupBy(*keys, "_seq", "_mask").agg(
         F.max((F.col("_old") != F.col("_new")) | ~F.col("_was").eqNullSafe(F.col("_is"))).alias("_differs"), F.max(F.col("_old") == 1).alias("_ends")
     )
-    rows = rows.withColumn("_seq", F.col(seq)).join(changed, [*keys, "_seq", "_mask"], "left")
+    rows, on = rows.withColumn("_seq", F.col(seq)), [*keys, "_seq", "_mask"]
+    dealt = lambda d: d.repartition(parts, *on) if parts else d
+    rows = dealt(rows).join(dealt(changed), on, "left")
     alone = (F.col(op) == "leaf") & F.col("owner").isNull()
     kept = F.when(alone, ~F.col("_same")).when(F.col(op) == "delete", F.coalesce("_ends", F.lit(False))).otherwise(F.coalesce("_differs", F.lit(False)))
     return rows.filter(kept).select(*names)

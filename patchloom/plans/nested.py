@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patches as build
 from ..operators import fold, patches
+from ..sources.tables import parts_of
 from .catalogue import query
 from .state import events
 
@@ -26,7 +27,8 @@ def nested_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "view") & (n % 4 == 0), build.inside(build.path("view"), build.set_map(build.path(), one)))
         .otherwise(build.set_leaf(build.path(kind, key), value))
     )
-    return events(spark, sf_dir).withColumn("seq", at).select(F.col("user_id").alias("ent"), "seq", F.inline(change))
+    rows = events(spark, sf_dir)
+    return rows.repartition(parts_of(rows), "user_id").withColumn("seq", at).select(F.col("user_id").alias("ent"), "seq", F.inline(change))
 
 
 #: The same rows, plainly: p1 and p2 are the parts of the path, d its length.
@@ -93,7 +95,7 @@ SELECT ent, CAST(seq AS BIGINT) AS seq, op, {_PATH}, v AS value FROM kept""",
 )
 def nested_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches without what changes nothing: equal values, absent deletes, equal wholes, negative indexes."""
-    return shown(patches.prune_nested(nested_log(spark, sf_dir), ["ent"], depth=2, index_depths=[2]))
+    return shown(patches.prune_nested(nested_log(spark, sf_dir), ["ent"], depth=2, index_depths=[2], parts=parts_of(events(spark, sf_dir))))
 
 
 @query(

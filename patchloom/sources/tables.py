@@ -16,6 +16,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: Rows that one task sorts or computes, so that its memory and time do not grow with a table.
+TASK_ROWS = 150_000
+
+
+def parts_of(rows: DataFrame, each: int = TASK_ROWS) -> int:
+    """How many partitions hold the rows of a table, ``each`` at most on average; one for each core at least. Parquet counts rows by its footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def read_log_stream(spark: SparkSession, folder: str, schema: StructType, files_at_once: int = 64) -> DataFrame:
     """New files of a change log as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
