@@ -121,6 +121,7 @@ def nested_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def array_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as patches of an array of structs: the first replaces the array, every third a struct, others set one field."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = line.repartition(parts_of(line), "l_orderkey")
     first = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     seq, n = F.row_number().over(first).cast("long"), F.col("l_linenumber")
     line = line.select("l_orderkey", seq.alias("seq"), n.alias("n"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"))

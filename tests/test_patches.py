@@ -105,3 +105,18 @@ def test_builders_and_zero_values(spark):
     assert sorted((r["e"], r["field"], r["value"]) for r in patches.with_zeros(state, ["e"], {"x": 0.0, "y": 0.0}).collect() if r["value"] is not None) == [(1, "x", 5.0), (1, "y", 0.0), (2, "x", 0.0)]
     items = spark.createDataFrame([(1, 2, 5.0), (1, -1, 4.0), (2, 0, 1.0)], "e int, i int, v double")
     assert sorted(map(tuple, patches.zero_filled(items, ["e"], "i", "v", 0.0).collect())) == [(1, 0, 0.0), (1, 1, 0.0), (1, 2, 5.0), (2, 0, 1.0)]
+
+
+def test_parts_grow_with_rows(spark, tmp_path):
+    """Logs are dealt to partitions of bounded rows; a prune dealt so keeps the same rows."""
+    from patchloom.operators import patches as ops
+    from patchloom.plans import nested
+    from patchloom.sources.tables import parts_of
+
+    assert [parts_of(spark.range(n), 100) for n in (0, 400, 4001)] == [4, 4, 41]
+    log = nested.nested_log(spark, "/root/testdata/sf0.001")
+    got = [sorted(map(str, ops.prune_nested(log, ["ent"], depth=2, index_depths=[2], parts=p).collect())) for p in (None, 7)]
+    assert got[0] and got[0] == got[1]
+    (tmp_path / "t").mkdir()
+    spark.range(900_000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.1D AS l_tax", "timestamp'2024-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/t/lineitem.parquet")
+    assert "l_orderkey" in (plan := nested.array_log(spark, f"{tmp_path}/t")._jdf.queryExecution().optimizedPlan().toString()) and "], 6" in plan
