@@ -8,11 +8,14 @@ Numbers of 8 bytes are longs; unsigned ones from 2**63 on read as negative.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dataplane import HEADER_BYTES, MOST_NAME, MOST_PAYLOAD, envelope_error
 from .codec import little, number
+from .packets import apart
 
 #: Numbers of the header by column, with their offset and size: fixed values.
 NUMBERS = {
@@ -20,25 +23,46 @@ NUMBERS = {
     "first_index": (40, 4), "item_count": (44, 4), "total_item_count": (48, 4), "stream_size": (52, 2), "format_size": (54, 2), "payload_size": (56, 4),
 }
 SMALL = ("payload_type", "flags")
+#: The header is written and read in words of 8 bytes, each of one conversion.
+WORDS = range(0, HEADER_BYTES, 8)
+MAGIC_BYTES = 4
+
+
+def _shift(at: int) -> int:
+    return 8 * (at % 8)
+
+
+def _low(value: Column, size: int) -> Column:
+    return value if size == 8 else value.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _word(numbers: dict[str, Column], at: int) -> Column:
+    """The bytes of one word of the header, without the magic."""
+    first = MAGIC_BYTES if at == 0 else 0
+    inside = [F.shiftleft(_low(numbers[n].cast("long"), size), _shift(k - first)) for n, (k, size) in NUMBERS.items() if at <= k < at + 8]
+    return little(reduce(Column.bitwiseOR, inside), min(8, HEADER_BYTES - at) - first)
 
 
 def encode(magic: bytes) -> Column:
     """Bytes of an envelope row; null where the row breaks a rule."""
     made = {"reserved": F.lit(0), "stream_size": F.octet_length("stream_id"), "format_size": F.octet_length("format"), "payload_size": F.octet_length("payload")}
-    head = (little(made.get(n, F.col(n) if n not in made else None), size) for n, (_, size) in NUMBERS.items())
-    raw = F.concat(F.lit(magic), *head, F.col("stream_id").cast("binary"), F.col("format").cast("binary"), F.col("payload"))
+    numbers = {n: made[n] if n in made else F.col(n) for n in NUMBERS}
+    head = (_word(numbers, at) for at in WORDS)
+    raw = F.concat(apart(F.lit(magic)), *head, F.col("stream_id").cast("binary"), F.col("format").cast("binary"), F.col("payload"))
     return F.when(envelope_error().isNull(), raw)
 
 
 def decoded(rows: DataFrame, raw: str, magic: bytes, most_payload: int = MOST_PAYLOAD) -> DataFrame:
     """Adds the columns of an envelope and ``error``, the first rule that its bytes or its fields break; with an error the fields are null."""
     r, size = F.col(raw), F.octet_length(raw)
-    head = F.struct(*(number(r, at, n).cast("int" if name in SMALL else "long").alias(name) for name, (at, n) in NUMBERS.items())).alias("_head")
-    rows = rows.withColumn("_head", head)
+    rows = rows.withColumns({f"_word{at}": number(r if at else apart(r), at, 8) for at in WORDS})
+    of = lambda at, n: _low(F.shiftrightunsigned(f"_word{at - at % 8}", _shift(at)), n)
+    head = F.struct(*(of(at, n).cast("int" if name in SMALL else "long").alias(name) for name, (at, n) in NUMBERS.items()))
+    rows = rows.withColumn("_head", head).drop(*(f"_word{at}" for at in WORDS))
     h = F.col("_head")
     text = HEADER_BYTES + h["stream_size"] + h["format_size"]
     broken = (
-        F.when(size < HEADER_BYTES, "truncated")
+        F.when(apart(size) < HEADER_BYTES, "truncated")
         .when(F.substring(r, 1, len(magic)) != F.lit(magic), "unknown format")
         .when(h["reserved"] != 0, "reserved bits")
         .when((h["stream_size"] > MOST_NAME) | (h["format_size"] > MOST_NAME), "name too long")
@@ -52,7 +76,7 @@ def decoded(rows: DataFrame, raw: str, magic: bytes, most_payload: int = MOST_PA
         part(HEADER_BYTES + h["stream_size"], h["format_size"]).cast("string").alias("format"),
         part(text, h["payload_size"]).alias("payload"),
     )
-    rows = rows.withColumn("error", F.coalesce("_broken", envelope_error(most_payload))).drop("_head", "_broken")
+    rows = rows.withColumn("error", F.coalesce(apart(F.col("_broken")), envelope_error(most_payload))).drop("_head", "_broken")
     fields = [n for n in NUMBERS if not n.endswith("_size") and n != "reserved"] + ["stream_id", "format", "payload"]
     return rows.withColumns({n: F.when(F.col("error").isNull(), F.col(n)) for n in fields})
 

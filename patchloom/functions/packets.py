@@ -113,6 +113,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def apart(value: Column) -> Column:
+    """The value as it is. A projection that names a function over arrays is compiled in small methods, and not fused with
+    others into one that is too long for the JIT compiler and then interpreted."""
+    return let(value, lambda x: x)
+
+
 def _number(raw: Column, at: Column, size: int) -> Column:
     return number(F.substring(raw, at + 1, F.lit(size)), 0, size)
 

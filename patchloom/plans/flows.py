@@ -424,8 +424,9 @@ def packed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_cod_2_round_trip", f"SELECT CAST({_SIZES} AS INTEGER) AS size, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM ({_VALUES}) GROUP BY ALL")
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed integers written and read again; numbers that cannot be written are counted under the size null."""
-    rows = codec_values(spark, sf_dir).withColumn("raw", codec.packed(F.col("v")))
-    return rows.groupBy(F.octet_length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(codec.unpacked(F.col("raw")) != F.col("v")).alias("mismatches"))
+    rows = codec_values(spark, sf_dir).withColumn("raw", codec.packed(wire.apart(F.col("v"))))
+    rows = rows.select(F.octet_length("raw").alias("size"), (codec.unpacked(wire.apart(F.col("raw"))) != F.col("v")).alias("differs"))
+    return rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_if("differs").alias("mismatches"))
 
 
 @query("q_pkt_1_packets", "SELECT event_id, 5 AS kind, event_id AS call_id, event_type AS name, user_id % 256 AS access, CAST(CAST(length(props) AS BIGINT) AS BIGINT) AS payload_bytes, CASE WHEN event_id % 10 = 0 THEN 'length differs' END AS error FROM events")

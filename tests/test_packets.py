@@ -103,3 +103,14 @@ def test_numbers_by_plain_python(spark):
         assert all(bytes(r[f"l{k}"]) == whole[:k] for k in (1, 2, 4, 8)) and all(r[f"n{k}"] == int.from_bytes(whole[:k], "little") for k in (1, 2, 4)) and r["n8"] == r["v"]
         assert (r["short"], r["none"], r["no"]) == (whole[7] + 256 * ord("z"), 0, None)
         assert r["back"] == (None if r["v"] == -(1 << 63) else r["v"]) and r["size"] == (9 if r["p"] is None else len(r["p"]))
+
+
+@pytest.mark.parametrize("name", ["q_env_4_bytes", "q_cod_2_round_trip"])
+def test_wide_projections_stand_apart(spark, name):
+    """No long projection is fused into one method, which would be too long for the JIT compiler."""
+    from patchloom.plans import all_queries
+
+    frame = all_queries()[name](spark, "/root/testdata/sf0.001")
+    frame.collect()
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("*(" in line for line in lines) and all(len(line) < 2000 for line in lines if "*(" in line)
