@@ -10,12 +10,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores where a small source has fewer splits than there are; for plans that compute much for each row."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 #: Rows that one task sorts or computes, so that its memory and time do not grow with a table.
 TASK_ROWS = 150_000
 
@@ -25,6 +19,12 @@ def parts_of(rows: DataFrame, each: int = TASK_ROWS) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, and over as many tasks as their number takes, where the source has fewer splits; for plans that compute much for each row."""
+    parts = parts_of(rows)
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 def read_log_stream(spark: SparkSession, folder: str, schema: StructType, files_at_once: int = 64) -> DataFrame:
     """New files of a change log as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)

@@ -120,3 +120,12 @@ def test_parts_grow_with_rows(spark, tmp_path):
     (tmp_path / "t").mkdir()
     spark.range(900_000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.1D AS l_tax", "timestamp'2024-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/t/lineitem.parquet")
     assert "l_orderkey" in (plan := nested.array_log(spark, f"{tmp_path}/t")._jdf.queryExecution().optimizedPlan().toString()) and "], 6" in plan
+
+
+def test_spread_by_rows(spark):
+    """Rows that take much computing go to as many tasks as their number takes."""
+    from patchloom.sources import tables
+
+    rows = spark.range(0, 6 * tables.TASK_ROWS + 1, 1, 2)
+    got = tables.spread(rows)
+    assert got.rdd.getNumPartitions() == 7 and got.count() == rows.count()
